@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, secrets, token_files
+from . import bpe, decontaminate, media, quality, secrets, simhash, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": simhash.query,
         "op3_token_files": token_files.query,
         "op4_media_columns": media.query,
+        "op5_quality": quality.query,
         "op6_bpe": bpe.query,
+        "op8_warc": warc.query,
+        "op9_decontamination": decontaminate.query,
         "op10_secrets": secrets.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": warc.ORACLE, "op9_decontamination": decontaminate.ORACLE}
