@@ -11,7 +11,7 @@ from verdigraph import runtime
 from verdigraph.llm import token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = [None, "", " \n", "Hello  hello World's", "a<|endoftext|>b <|startoftext|>", "é É ́x Σας ΣΑΣ", "x\xa0y　z\x1cw\x85v", "long " * 30000, "東京 1234", "\x00"]
+TEXTS = [None, "", " \n", "Hello  hello World's", "a<|endoftext|>b <|startoftext|>", "é É ́x Σας ΣΑΣ", "x\xa0y　z\x1cw\x85v", "long " * 30000, "東京 1234", "\x00", "a\x01b \x01 \x01\x01 c"]
 
 
 class Source(io.BytesIO):

@@ -96,7 +96,7 @@ def matches(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
     ranked = durable(ranked.where("have = len").drop("have"), "ranked")  # a term without postings rules its phrases out
     rarest = ranked.where("rank = 1").select("wid", "term", "off")
     n_phrases = rarest.count()
-    starts = postings.join(_small(rarest, n_phrases), "term").select("row", "wid", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    starts = postings.join(_small(rarest, n_phrases), "term").select("row", "wid", (F.col("pos") - F.col("off")).alias("start")).where(F.col("start") >= -slop)
     second = ranked.where("rank = 2").select("wid", "off", "term", F.lit(1).alias("need"))
     alone = ranked.where("len = 1").select("wid")
     if slop:
@@ -141,6 +141,21 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     return documents_hit(index, phrases, matches(index, phrases))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated.
+
+    A row is told by its doc_id and text together, so repeated rows share one fate, and a null id or
+    text is a value like others.
+    """
+    phrases = Phrases.of(items)
+    known = F.array(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"], F.lit("")))
+    mark = F.sha2(F.to_json(known), 256)
+    index = build_index(docs.select(mark.alias("doc_id"), "text"), phrases.vocabulary)
+    hit = documents_hit(index, phrases, matches(index, phrases)).where("contaminated")
+    dirty = durable(hit.select(F.col("doc_id").alias("mark")).distinct(), "contaminated")
+    return docs.join(dirty, mark == dirty["mark"], "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
