@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from verdigraph.runtime import durable, fresh_path, width
 
 from . import storage
-from .bpe import MEMO_ENTRIES
 from .common import batch, documents, map_batches, texts
 
 #: Fixed values of the seekable format.
@@ -38,6 +37,10 @@ CHECKSUM_FLAG = 0x80
 FRAME_BYTES = 1 << 17
 SHARD_BYTES = 1 << 27
 LEVEL = 3
+#: Words in one generation of a worker's memo; two generations are alive at most.
+MEMO_ENTRIES = 400_000
+#: Stands between words that are encoded in one call; a word that holds it is encoded alone.
+MARK = b"\x01"
 
 
 class ShardWriter:
@@ -140,9 +143,27 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Encode words a few thousand to a call, with a mark between them whose id tells them apart."""
+        plain = [w for w in fresh if MARK not in w] if self.mark is not None else []
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
+            text = (b" " + MARK + b" ").join(part).decode("utf-8")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            for word, a, b in zip(part, starts, ends, strict=True):
+                self.memo[word] = raw[a:b]
+        for word in fresh:
+            if word not in self.memo:
+                self.memo[word] = np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts_: list[str]) -> list[np.ndarray]:
         split = [t.encode("utf-8").split() for t in texts_]
         if len(self.memo) >= MEMO_ENTRIES:
@@ -156,10 +177,7 @@ class WordEncoder:
                 fresh.append(word)
             else:
                 memo[word] = known
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                memo[word] = np.array(e.ids, "<u4").tobytes()
+        self._learn(fresh)
         return [np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4") for words in split]
 
 
