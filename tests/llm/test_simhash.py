@@ -6,7 +6,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from verdigraph.llm import bitslice, components, simhash
+from verdigraph.llm import bitslice, simhash
+from verdigraph.operators import components
 
 
 def slow_fingerprint(text):

@@ -19,9 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigraph.operators import components
 from verdigraph.runtime import durable, width
 
-from . import bitslice, components
+from . import bitslice
 from .common import batch, documents, map_batches, texts
 
 SEED = 42
