@@ -20,10 +20,8 @@ class NotConverged(RuntimeError):
 
 
 def _all(deltas: list[DataFrame]) -> DataFrame:
-    out = deltas[0]
-    for d in deltas[1:]:
-        out = out.unionByName(d)
-    return out
+    """The union of written tables of one schema, as one scan of their files."""
+    return deltas[0].sparkSession.read.schema(deltas[0].schema).parquet(*(d._verdigraph_path for d in deltas))
 
 
 def reach(edges: DataFrame, seeds: DataFrame, absorbing: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -54,7 +52,7 @@ def causes(edges: DataFrame, reached: DataFrame) -> DataFrame:
 
 def cause_chain(caused: DataFrame, elements: DataFrame, most: int) -> DataFrame:
     """(elem, pos, node): the steps from each element back towards a seed, ``most`` at most."""
-    at = elements.select(F.col("node").alias("elem"), F.lit(0).alias("pos"), "node")
+    at = durable(elements.select(F.col("node").alias("elem"), F.lit(0).alias("pos"), "node"), "chain")
     steps = [at]
     links = durable(caused.where("cause is not null").select("node", "cause"), "causes")
     for pos in range(1, most):
