@@ -23,19 +23,20 @@ def brute(rows, order):
 
     def parts(c, n_docs, n, v, tokens):
         for i, w in enumerate(tokens):
-            p, b = [1 / (v + 1), c[1, w] / max(n, 1)], 0
+            p, b, has = [1 / (v + 1), c[1, w] / max(n, 1)], 0, [True, n > 0]
             for k in range(2, order + 1):
                 context = tuple((["^"] * (k - 1) + tokens)[i : i + k - 1])
                 seen = n_docs if i == 0 else c[(k - 1, *context)]
                 p.append(c[(k, *context, w)] / seen if seen else 0.0)
+                has.append(seen > 0)
                 b = b * 64 + seen.bit_length()
-            yield b, p
+            yield b, p, has
 
     train, n_train = count(lambda r: r > 0)
     fit, n_fit = count(lambda r: r > 1)
     total = lambda c: sum(x for k, x in c.items() if k[0] == 1)
     n, v = total(train), sum(1 for k in train if k[0] == 1)
-    stats = Counter((b, *p) for tokens, rem in docs if rem == 1 for b, p in parts(fit, n_fit, total(fit), v, tokens))
+    stats = Counter((b, *p) for tokens, rem in docs if rem == 1 for b, p, _ in parts(fit, n_fit, total(fit), v, tokens))
     weights = {k[0]: [1 / (order + 1)] * (order + 1) for k in stats}
     every = [1 / (order + 1)] * (order + 1)
     for _ in range(lm.ROUNDS if stats else 0):
@@ -50,7 +51,10 @@ def brute(rows, order):
     out = []
     for (i, _), (tokens, rem) in zip(rows, docs):
         base = sum(math.log10((train[1, w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
-        s = sum(math.log10(sum(a * x for a, x in zip(weights.get(b, every), p))) for b, p in parts(train, n_train, n, v, tokens))
+        s = 0.0
+        for b, p, has in parts(train, n_train, n, v, tokens):
+            w = [a if h else 0.0 for a, h in zip(weights.get(b, every), has)]
+            s += math.log10(sum(a * x for a, x in zip(w, p)) / sum(w))
         out.append((i, rem == 0, len(tokens), sum(train[1, w] > 0 for w in tokens), n, round(base, 6), round(s, 6)))
     return sorted(out, key=str)
 

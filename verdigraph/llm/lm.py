@@ -1,6 +1,7 @@
 """Language-model scoring by deleted interpolation of n-gram maximum-likelihood estimates.
 
-P(w | context) mixes the relative frequencies of all orders and a uniform part. The mixture weights
+P(w | context) mixes the relative frequencies of all orders and a uniform part; where a context was
+never counted, the other parts share its weight, so probabilities sum to one. The mixture weights
 depend on how often the contexts were seen (bucketed by powers of two) and are learned by expectation
 maximisation on held-out counts: a tenth of the training documents is left out of the counts that the
 weights are fitted with, and counted in afterwards.
@@ -223,9 +224,11 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         seen = contexts(train, sizes, docs_train)
         buckets, place = np.unique(bucket(seen, len(train[0])), return_inverse=True)
         w = np.array([weights.get(b, weights[-1]) for b in buckets.tolist()])[place]
-        p = w[:, 0] / (v + 1) + w[:, 1] * train[0] / max(n, 1)
-        for k, (c, s) in enumerate(zip(train[1:], seen), 2):
+        p, mass = w[:, 0] / (v + 1), w[:, 0].copy()
+        for k, (c, s) in enumerate(zip(train, [np.full(len(w), n), *seen]), 1):
             p += w[:, k] * np.divide(c, s, out=np.zeros(len(c)), where=s > 0)
+            mass += np.where(s > 0, w[:, k], 0)
+        p /= mass  # an order whose context was never counted has no estimate, so no share
         base = np.log10((train[0] + 0.1) / (n + 0.1 * (v + 1)))
         heads = np.cumsum(sizes) - sizes
         columns = (sizes, np.add.reduceat((train[0] > 0).astype("i8"), heads), np.add.reduceat(base, heads), np.add.reduceat(np.log10(p), heads))
