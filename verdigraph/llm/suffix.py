@@ -46,7 +46,8 @@ SPLIT, SPREAD = 1_000, 8
 BATCH = 100_000
 
 _POSITION_BITS = 24
-STRETCH = 1 << 22
+#: Bytes of a chunk whose hashes are held at a time.
+PIECE = 1 << 19
 _TABLE = np.frombuffer(hashlib.shake_128(b"byte hashes").digest(256 * 8), "<u8")
 
 
@@ -68,7 +69,70 @@ def _anchors(grams: np.ndarray, span: int) -> np.ndarray:
     while 2 * step <= span:
         low = np.minimum(low[:-step], low[step:])
         step *= 2
-    return (np.minimum(low[: len(low) - (span - step)], low[span - step :]) & mask).astype("i8")
+    return (np.minimum(low[: len(low) - (span - step)], low[span - step :]) & mask).astype("i4")
+
+
+def pieces(lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(offset, document numbers, lengths) of stretches of a body, of about PIECE bytes at most.
+
+    A longer document comes in overlapping parts, so that every window is in exactly one stretch; a
+    run that is cut there is two runs, which changes no result.
+    """
+    docs: list[int] = []
+    sizes: list[int] = []
+    start = at = 0
+    for doc, n in enumerate(lengths.tolist()):
+        if docs and at - start + n > PIECE:
+            yield start, np.array(docs), np.array(sizes)
+            docs, sizes, start = [], [], at
+        if n > PIECE:
+            for a in range(0, n - LENGTH + 1, PIECE):
+                yield at + a, np.array([doc]), np.array([min(n - a, PIECE + LENGTH - 1)])
+            start = at + n
+        else:
+            docs.append(doc)
+            sizes.append(n)
+        at += n
+    if docs:
+        yield start, np.array(docs), np.array(sizes)
+
+
+FIELDS = ("first", "last", "anchor", "doc", "key", "whole")
+
+
+def _runs(body: bytes, docs: np.ndarray, lengths: np.ndarray, offset: int) -> tuple[np.ndarray, ...] | None:
+    """The FIELDS of the runs in one stretch."""
+    each = np.maximum(lengths - LENGTH + 1, 0)
+    total = int(each.sum())
+    if not total:
+        return None
+    h = _TABLE[np.frombuffer(body, "u1")]
+    step = 1
+    while step < K:
+        h = _twice(h, step)
+        step *= 2
+    h64 = _twice(h, K)
+    anchor = _anchors(h, LENGTH - K + 1)  # by window start
+    starts = np.cumsum(lengths) - lengths
+    doc = np.repeat(np.arange(len(lengths), dtype="i4"), each)
+    window = np.arange(total, dtype="i4") + np.repeat((starts - (np.cumsum(each) - each)).astype("i4"), each)
+    of = anchor[window]
+    new = np.empty(total, bool)
+    new[0] = True
+    new[1:] = (of[1:] != of[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    first = window[at].astype("i8")
+    last = window[np.concatenate([at[1:], [total]]) - 1].astype("i8")
+    own = of[at].astype("i8")
+    stop = last + LENGTH
+    whole = (stop - first).astype("<u8") << np.uint64(32) | (own - first).astype("<u8")
+    for place in (first, (first + stop - 64) // 2, stop - 64):
+        whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + h64[place]
+    whole ^= whole >> np.uint64(28)
+    # Anchors have small hashes; mixed once more, their keys fill all ranges evenly.
+    key = h[own] * np.uint64(0x9E3779B97F4A7C15)
+    key ^= key >> np.uint64(32)
+    return first + offset, last + offset, own + offset, docs[doc[at]], key * np.uint64(0xD6E8FEB86659FD93), whole
 
 
 class Runs:
@@ -79,43 +143,10 @@ class Runs:
     """
 
     def __init__(self, body: bytes, lengths: np.ndarray):
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        n = len(body)
-        empty = np.zeros(0, "i8")
-        self.first = self.last = self.anchor = self.doc = empty
-        self.key = self.whole = empty.astype("<u8")
-        if n < LENGTH or not (lengths >= LENGTH).any():
-            return
-        h = _TABLE[np.frombuffer(body, "u1")]
-        step = 1
-        while step < K:
-            h = _twice(h, step)
-            step *= 2
-        grams = h
-        h64 = _twice(h, K)
-        span = LENGTH - K + 1
-        # By window start, a stretch at a time: a position within it fits the low bits.
-        anchor = np.concatenate([_anchors(grams[at : at + STRETCH + span - 1], span) + at for at in range(0, len(grams) - span + 1, STRETCH)])
-        doc = np.repeat(np.arange(len(lengths)), np.maximum(lengths - LENGTH + 1, 0))
-        inside = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(lengths - LENGTH + 1, 0)) - np.maximum(lengths - LENGTH + 1, 0), np.maximum(lengths - LENGTH + 1, 0))
-        window = starts[doc] + inside
-        of = anchor[window]
-        new = np.empty(len(of), bool)
-        new[0] = True
-        new[1:] = (of[1:] != of[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        self.first = window[at]
-        self.last = window[np.concatenate([at[1:], [len(of)]]) - 1]
-        self.anchor, self.doc = of[at], doc[at]
-        self.key = grams[self.anchor]
-        stop = self.last + LENGTH
-        size = stop - self.first
-        mixed = size.astype("<u8") << np.uint64(32) | (self.anchor - self.first).astype("<u8")
-        for at in (self.first, (self.first + stop - 64) // 2, stop - 64):
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + h64[at]
-        self.whole = mixed ^ (mixed >> np.uint64(28))
-        self.offset = self.first - starts[self.doc]
+        found = [r for at, docs, sizes in pieces(lengths) if (r := _runs(body[at : at + int(sizes.sum())], docs, sizes, at))]
+        for k, field in enumerate(FIELDS):
+            empty = np.zeros(0, "<u8" if field in ("key", "whole") else "i8")
+            setattr(self, field, np.concatenate([r[k] for r in found]) if found else empty)
 
 
 class Family:
