@@ -49,10 +49,11 @@ def test_a_large_bucket_is_compared_across_labels(monkeypatch):
     for k in range(300):
         prints[k, k % 2] ^= np.uint64(int(r.integers(0, 2**63)) & int(r.integers(0, 2**63)) & int(r.integers(0, 2**63)))
     label = np.where(r.random(300) < 0.1, np.arange(300), 7)
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if label[i] != label[j] and np.bitwise_count(prints[i] ^ prints[j]).sum() <= similar.RADIUS}
+    size = r.integers(90, 130, 300)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if label[i] != label[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and np.bitwise_count(prints[i] ^ prints[j]).sum() <= similar.RADIUS}
     for block in (2048, 64):
         monkeypatch.setattr(similar, "BLOCK", block)
-        i, j = similar.bucket_pairs(prints, label)
+        i, j = similar.bucket_pairs(prints, label, size)
         assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} == want
 
 

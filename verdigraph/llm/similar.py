@@ -44,14 +44,27 @@ def shingle_set(text: str) -> np.ndarray:
 
 
 def fingerprint(shingles: np.ndarray) -> bytes:
-    """128-bit SimHash of a set of hashes; the upper half uses a remix of each hash."""
+    """128-bit SimHash of a set of hashes, then its size; the upper half uses a remix of each hash."""
     mixed = (shingles ^ (shingles >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-    return np.array([fold(shingles), fold(mixed ^ (mixed >> np.uint64(28)))], "<u8").tobytes()
+    return np.array([fold(shingles), fold(mixed ^ (mixed >> np.uint64(28)))], "<u8").tobytes() + np.array([len(shingles)], "<u4").tobytes()
+
+
+def unpacked(prints: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints as rows of 64-bit words, set sizes)."""
+    raw = np.frombuffer(b"".join(prints), "u1").reshape(len(prints), BITS // 8 + 4)
+    return np.ascontiguousarray(raw[:, : BITS // 8]).view("<u8"), np.ascontiguousarray(raw[:, BITS // 8 :]).view("<u4").ravel().astype("i8")
+
+
+def near_pairs(prints: np.ndarray, size: np.ndarray):
+    """Near pairs whose set sizes allow the similarity: it is at most the smaller over the larger."""
+    for i, j in bitslice.near_pairs(prints, RADIUS):
+        fits = np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]) - 1e-9
+        yield i[fits], j[fits]
 
 
 def table_keys(prints: list[bytes]) -> np.ndarray:
     """Keys (prints x tables) as longs: the table's number above its sampled bits."""
-    bits = np.unpackbits(np.frombuffer(b"".join(prints), "u1").reshape(len(prints), BITS // 8), axis=1, bitorder="little")
+    bits = np.unpackbits(unpacked(prints)[0].view("u1"), axis=1, bitorder="little")
     weights = 1 << np.arange(KEY_BITS, dtype="i8")
     return np.stack([bits[:, p].astype("i8") @ weights + (t << KEY_BITS) for t, p in enumerate(POSITIONS)], axis=1)
 
@@ -91,7 +104,7 @@ def keyed(nodes: DataFrame) -> DataFrame:
     return map_batches(nodes.select("node", "label", "fp"), run, "bucket long, node long, label long, fp binary")
 
 
-def bucket_pairs(prints: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_pairs(prints: np.ndarray, label: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Near pairs of one bucket whose labels differ.
 
     Only members outside the bucket's largest label are compared with all: a bucket that one
@@ -106,7 +119,7 @@ def bucket_pairs(prints: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.
         others = np.arange(len(label))
         blocks = (np.union1d(few[a : a + BLOCK // 4], others[b : b + BLOCK]) for a in range(0, len(few), BLOCK // 4) for b in range(0, len(others), BLOCK))
     for block in blocks:
-        for i, j in bitslice.near_pairs(prints[block], RADIUS):
+        for i, j in near_pairs(prints[block], size[block]):
             i, j = block[i], block[j]
             differ = label[i] != label[j]
             found_i.append(i[differ])
@@ -122,17 +135,19 @@ def candidates(members: DataFrame, forest: bool) -> DataFrame:
     def compare(rows: list[tuple]) -> pa.RecordBatch:
         node = np.array([r[1] for r in rows], "i8")
         label = np.array([r[2] for r in rows], "i8")
-        prints = np.frombuffer(b"".join(r[3] for r in rows), "<u8").reshape(len(rows), BITS // 64)
+        prints, size = unpacked([r[3] for r in rows])
         if forest:
             pairs = [np.zeros((2, 0), "i8")]
             for at in range(0, len(rows), BLOCK):
-                part = slice(at, at + BLOCK)
-                root = bitslice.forest(len(node[part]), bitslice.near_pairs(prints[part], RADIUS))
+                # A block is a chance sample of a large bucket; its smallest nodes are the roots, so
+                # that tables name the same few links again, not new ones each.
+                part = at + np.argsort(node[at : at + BLOCK])
+                root = bitslice.forest(len(part), near_pairs(prints[part], size[part]))
                 moved = np.flatnonzero(root != np.arange(len(root)))
                 pairs.append(np.stack([node[part][moved], node[part][root[moved]]]))
             u, v = np.concatenate(pairs, axis=1)
         else:
-            i, j = bucket_pairs(prints, label)
+            i, j = bucket_pairs(prints, label, size)
             u, v = node[i], node[j]
         u, v = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
         return batch(schema, pa.array(u[u != v]), pa.array(v[u != v]))
