@@ -2,7 +2,7 @@
 
 1. quality: rows whose text the line field scores below 0.5 go.
 2. near_dedup: of each group of near-duplicates (five-word shingles, similarity 0.8 or more; SimHash
-   candidates) the row with the smallest doc_id stays.
+   and shingle-prefix candidates) the row with the smallest doc_id stays.
 3. decontaminate: rows contaminated by a benchmark item go.
 4. secrets: secrets in the texts are masked; every row stays.
 5. encode: ids of the byte-level BPE for every text that is left.

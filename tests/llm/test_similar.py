@@ -60,3 +60,43 @@ def test_a_large_bucket_is_compared_across_labels(monkeypatch):
 def test_empty(spark, docs):
     assert similar.similar_groups(docs([])).count() == 0
     assert similar.keep_one_each(docs([])).count() == 0
+
+
+def test_short_near_pairs_are_all_found(spark, docs):
+    """Eight words and the same with a ninth: 4 of 5 shingles, which SimHash misses in one pair of five."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for k in range(150):
+        words = [word() for _ in range(8)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, word()]))]
+    assert all(len(shingles(rows[i][1])) == 4 + i % 2 for i in range(300))
+    got = {x.doc_id: x.component_id for x in similar.similar_groups(docs(rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
+def test_prefix_pairs_hold_every_similar_pair(monkeypatch):
+    """Against all pairs, with hot shingles, small and large runs, and similarities about 0.8."""
+    r = np.random.default_rng(5)
+    hot = r.integers(0, 2**63, 60).astype("u8")
+    sets = []
+    for n in (1, 3, 4, 5, 9, 10, 40, 90):
+        for _ in range(6):
+            base = r.integers(0, 2**63, n).astype("u8")
+            for _ in range(6):
+                kept = base[r.random(n) > r.choice([0, 0.05, 0.1, 0.15])]
+                sets.append(np.unique(np.concatenate([kept, r.choice(hot, min(n // 4, 8)), r.integers(0, 2**63, int(r.integers(0, n // 8 + 2))).astype("u8")])))
+    sets = [s for s in sets if len(s)] + [hot[:k].copy() for k in range(40, 60)]
+    sets = [np.unique(s) for s in sets]
+    counts = np.bincount(similar.slots(np.concatenate(sets)), minlength=similar.SLOTS)
+    rows = np.array(sorted((int(k), n, len(s), place) for n, s in enumerate(sets) for place, k in enumerate(similar.prefix(s, counts))), "i8").T
+    both = lambda p, q: len(np.intersect1d(p, q))
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if both(sets[i], sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j]) - both(sets[i], sets[j])) - 1e-9}
+    assert len(want) > 100
+    for block in (2048, 8):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        for groups in (len(sets), 3):
+            label = rows[1] % groups
+            got = {(min(a, b), max(a, b)) for i, j in similar.prefix_pairs(rows[0], label, rows[2], rows[3]) for a, b in zip(rows[1][i].tolist(), rows[1][j].tolist())}
+            assert {(i, j) for i, j in want if i % groups != j % groups} <= got
+            assert all(a % groups != b % groups for a, b in got)

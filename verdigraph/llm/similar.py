@@ -1,18 +1,23 @@
-"""Near-duplicate texts by SimHash candidates and an exact check of shingle similarity.
+"""Near-duplicate texts by SimHash and shingle-prefix candidates, checked by exact shingle similarity.
 
 Texts count as near if the Jaccard similarity of their sets of WORDS-word shingles is SIMILARITY or
-more. At 0.8 two SimHashes differ in about 15 % of their bits, far more than pigeonhole blocks can
-afford, so candidates come from TABLES tables, each keyed by KEY_BITS sampled bits of a 128-bit
-fingerprint (a pair at 0.8 shares a key in at least one of them in 99 % of cases, at 0.85 in 99.9 %).
-Within a key the bit-sliced comparison keeps pairs at most RADIUS bits apart.
+more. Most near pairs are found cheaply: TABLES tables, each keyed by KEY_BITS sampled bits of a
+128-bit SimHash, and within a key a bit-sliced comparison that keeps pairs at most RADIUS bits apart.
+The tables sample the same bits, so a pair that is unlucky in them misses all tables together; the
+exact path below finds those.
 
 Pairs are never listed within a group. A first pass takes a spanning forest of each key's near
 fingerprints, checks those links exactly and builds components. A second pass compares again, but
-only members of different components, and checks what it finds. No candidate is left out by a cap.
+only members of different components, and checks what it finds. The third pass is a prefix filter:
+with shingles in one total order, rare ones first, two sets of similarity SIMILARITY or more share a
+shingle among the first n - ceil(SIMILARITY n) + 1 of each. All pairs of different components that
+share one and whose places leave room for enough common shingles are checked. No candidate is left
+out by a cap, and no near pair by chance.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +38,12 @@ BITS, RADIUS = 128, 34
 TABLES, KEY_BITS = 64, 16
 #: Fingerprints compared in one block.
 BLOCK = 2048
+#: Slots that documents are counted in by their shingles, only to order shingles by rarity.
+SLOTS, SLOT_PARTS = 1 << 18, 64
+#: Members of a shingle that are compared by shifted columns; more are compared in blocks.
+FEW = 16
+#: Rows of the prefix filter that are compared at a time.
+PREFIX_ROWS = 1 << 16
 
 #: Sampled bit positions of every table, by a fixed rule.
 POSITIONS = np.stack([np.random.default_rng(t).permutation(BITS)[:KEY_BITS] for t in range(TABLES)])
@@ -43,6 +54,12 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text, WORDS))
 
 
+def node_id(text: str) -> int:
+    """Names the text's sequence of lower-cased words; 0 without words."""
+    words = text.encode("utf-8").lower().split()
+    return (xxhash.xxh64_intdigest(b" ".join(words), 7) >> 1) | 1 if words else 0
+
+
 def fingerprint(shingles: np.ndarray) -> bytes:
     """128-bit SimHash of a set of hashes, then its size; the upper half uses a remix of each hash."""
     mixed = (shingles ^ (shingles >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
@@ -80,9 +97,8 @@ def sketches(docs: DataFrame) -> DataFrame:
         for b in batches:
             nodes, prints = [], []
             for text in b.column("text").to_pylist():
-                words = text.encode("utf-8").lower().split()
-                nodes.append((xxhash.xxh64_intdigest(b" ".join(words), 7) >> 1) | 1 if words else 0)
-                prints.append(fingerprint(shingle_set(text)) if words else None)
+                nodes.append(node_id(text))
+                prints.append(fingerprint(shingle_set(text)) if nodes[-1] else None)
             yield batch(schema, b.column("doc_id"), nodes, prints)
 
     return map_batches(docs, run, "doc_id long, node long, fp binary")
@@ -202,6 +218,135 @@ def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_batches(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b"), near, "u long, v long")
 
 
+def slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(40)).astype("i8") & (SLOTS - 1)
+
+
+def rarity(texts: DataFrame) -> np.ndarray:
+    """Documents by slot of their shingles: a fixed number of counters, whatever the input."""
+    schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, "i8")
+        for b in batches:
+            found = [shingle_set(t) for t in b.column("text").to_pylist()]
+            if found:
+                total += np.bincount(slots(np.concatenate(found)), minlength=SLOTS)
+        if total.any():
+            yield batch(schema, np.arange(SLOT_PARTS), [x.tobytes() for x in total.reshape(SLOT_PARTS, -1)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, counts in zip(b.column("part").to_pylist(), b.column("counts").to_pylist()):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts, "<i8")
+        yield batch(schema, list(sums), [x.tobytes() for x in sums.values()])
+
+    partial = map_batches(texts.select("text"), count, "part int, counts binary")
+    out = np.zeros((SLOT_PARTS, SLOTS // SLOT_PARTS), "i8")
+    for part, counts in map_batches(partial.repartition(width(texts.sparkSession), "part"), add, "part int, counts binary").collect():
+        out[part] = np.frombuffer(counts, "<i8")
+    return out.ravel()
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles, rare ones first, of which a set as similar as SIMILARITY has one in its own prefix."""
+    ordered = shingles[np.lexsort((shingles, counts[slots(shingles)]))]
+    return ordered[: len(ordered) - math.ceil(SIMILARITY * len(ordered) - 1e-9) + 1]
+
+
+def prefix_rows(texts: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(key, node, label, size, place): the prefix shingles of every node, with the set's size."""
+    counts = rarity(texts)
+    packed_schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("prefix", pa.binary())])
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "node", "label", "size", "place")])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes, prefixes = [], [], []
+            for text in b.column("text").to_pylist():
+                if node := node_id(text):
+                    shingles = shingle_set(text)
+                    nodes.append(node)
+                    sizes.append(len(shingles))
+                    prefixes.append(prefix(shingles, counts).tobytes())
+            yield batch(packed_schema, nodes, sizes, prefixes)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prefixes = b.column("prefix").to_pylist()
+            lengths = np.array([len(p) // 8 for p in prefixes], "i8")
+            repeat = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(repeat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            columns = (np.asarray(b.column(c))[repeat] for c in ("node", "label", "size"))
+            yield batch(schema, np.frombuffer(b"".join(prefixes), "<i8"), *columns, place)
+
+    packed = map_batches(texts.select("text"), pack, "node long, size long, prefix binary").dropDuplicates(["node"])
+    return map_batches(packed.join(labelled.select("node", "label"), "node"), unpack, "key long, node long, label long, size long, place long")
+
+
+def prefix_pairs(key: np.ndarray, label: np.ndarray, size: np.ndarray, place: np.ndarray):
+    """Pairs of one key and different labels that may be similar, from rows sorted by key.
+
+    At the first shingle two ordered sets share, their places bound what else they can share; at
+    later ones the bound may drop a pair, which the first has kept then.
+    """
+    left = size - place
+    start = np.flatnonzero(np.diff(key, prepend=key[0] ^ 1))
+    length = np.diff(start, append=len(key))
+    run = np.repeat(np.arange(len(start)), length)
+
+    def fits(i, j):
+        return (label[i] != label[j]) & (np.minimum(left[i], left[j]) >= SIMILARITY / (1 + SIMILARITY) * (size[i] + size[j]) - 1e-6)
+
+    small = np.flatnonzero((length > 1)[run] & (length <= FEW)[run])
+    for shift in range(1, FEW):
+        i = small[small + shift < len(key)]
+        i = i[run[i] == run[i + shift]]
+        if not len(i):
+            break
+        kept = i[fits(i, i + shift)]
+        yield kept, kept + shift
+    for k in np.flatnonzero(length > FEW):
+        members = np.arange(start[k], start[k] + length[k])
+        values, counts = np.unique(label[members], return_counts=True)
+        few = members[label[members] != values[counts.argmax()]]
+        for a in range(0, len(few), BLOCK // 4):
+            for b in range(0, len(members), BLOCK):
+                i, j = few[a : a + BLOCK // 4, None], members[None, b : b + BLOCK]
+                x, y = np.nonzero(fits(i, j))
+                yield i[x, 0], j[0, y]
+
+
+def prefix_candidates(texts: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(u, v) with u > v: every pair of different labels that can have similarity SIMILARITY."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def compare(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, node, label, size, place = rows
+        for i, j in prefix_pairs(key, label, size, place):
+            if len(i):
+                u, v = np.unique(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])]), axis=1)
+                yield batch(schema, u, v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(np.stack([np.asarray(c) for c in b.columns]))
+            if sum(x.shape[1] for x in held) >= PREFIX_ROWS and held[0][0, 0] != held[-1][0, -1]:
+                rows = np.concatenate(held, axis=1)
+                cut = np.searchsorted(rows[0], rows[0, -1])
+                yield from compare(rows[:, :cut])
+                held = [rows[:, cut:]]
+        if held:
+            yield from compare(np.concatenate(held, axis=1))
+
+    dealt = prefix_rows(texts, labelled).repartition(width(texts.sparkSession), "key").sortWithinPartitions("key")
+    return map_batches(dealt, run, "u long, v long").distinct()
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): the smallest doc_id reachable over near links, for each id of ``docs``.
 
@@ -214,14 +359,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     nodes = durable(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "nodes")
     shaped = nodes.where("fp is not null")
     near = durable(checked(durable(candidates(keyed(shaped.withColumn("label", F.col("node"))), forest=True), "forest"), texts, nodes), "near")
-    root = components.roots(near).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    labelled = durable(shaped.join(root, "node", "left").withColumn("label", F.coalesce("root", "node")), "labelled")
-    further = durable(candidates(keyed(labelled), forest=False), "further")
+    labels = lambda links: components.roots(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    label = lambda root: durable(shaped.join(root, "node", "left").withColumn("label", F.coalesce("root", "node")), "labelled")
+    further = durable(candidates(keyed(label(labels(near))), forest=False), "further")
+    near = durable(near.unionByName(checked(further, texts, nodes)), "near")
+    missed = durable(prefix_candidates(texts, label(labels(near))), "missed")
     # Ids on several rows tie their texts together.
     tied = known.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w").select("doc_id", "v")
     same_id = known.join(tied, "doc_id").where("node > v").select(F.col("node").alias("u"), "v")
-    links = near.unionByName(checked(further, texts, nodes)).unionByName(same_id)
-    root = components.roots(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    root = labels(near.unionByName(checked(missed, texts, nodes)).unionByName(same_id))
     rooted = nodes.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return known.join(rooted.join(least, "root").select("node", "component_id"), "node").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
