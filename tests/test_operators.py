@@ -135,3 +135,11 @@ def test_scalars(spark):
     one = spark.createDataFrame([('{"x":"3-4:5-16"}',)], "s string").select(scalars.without_positions(F.col("s")).alias("s"), scalars.snake(F.lit("fooBarX")).alias("n")).first()
     assert (one.s, one.n) == ('{"x":""}', "foo_bar_x")
     assert df.agg(scalars.fingerprint(F.col("b")).alias("h")).first() == df.orderBy(F.desc("b")).agg(scalars.fingerprint(F.col("b")).alias("h")).first()
+
+
+def test_ancestors_of_any_depth(spark):
+    chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(16)], "var long, parent long")
+    got = sorted(tuple(r) for r in links.ancestors(chain).select("var", "anc", "depth").collect())
+    assert got == sorted((k, k - d, d) for k in range(16) for d in range(k + 1))
+    with pytest.raises(fixpoint.NotConverged):
+        links.ancestors(chain, max_rounds=5)

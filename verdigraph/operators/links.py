@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigraph.operators.fixpoint import MAX_ROUNDS, NotConverged, _all
+from verdigraph.runtime import durable
+
 
 def compose(left: DataFrame, right: DataFrame, algebra: DataFrame) -> DataFrame:
     """All a -> c from a -r-> b and b -s-> c with r and s composing; no loops."""
@@ -68,15 +71,16 @@ def join_groups(alternatives: DataFrame) -> DataFrame:
     return by_var.join(F.broadcast(n)).where("groups = 1 and (alts = n_alt or source)").select("var", "grp")
 
 
-def ancestors(variables: DataFrame, most: int) -> DataFrame:
-    """(var, anc, depth): the scopes of each variable (var, parent), itself at depth 0, ``most`` deep."""
-    edge = variables.where("parent is not null").select("var", "parent")
-    level = variables.select("var", F.col("var").alias("anc"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, most + 1):
-        level = level.join(edge.select(F.col("var").alias("anc"), "parent"), "anc").select("var", F.col("parent").alias("anc"), F.lit(depth).alias("depth"))
-        out = out.unionByName(level)
-    return out
+def ancestors(variables: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(var, anc, depth): all scopes of each variable (var, parent), itself at depth 0."""
+    edge = durable(variables.where("parent is not null").select(F.col("var").alias("anc"), "parent"), "parents")
+    levels = [durable(variables.select("var", F.col("var").alias("anc"), F.lit(0).alias("depth")), "ancestors")]
+    while not levels[-1].isEmpty():
+        if len(levels) > max_rounds:
+            raise NotConverged(f"ancestors are not complete after {max_rounds} rounds")
+        above = levels[-1].join(edge, "anc").select("var", F.col("parent").alias("anc"), F.lit(len(levels)).alias("depth"))
+        levels.append(durable(above, "ancestors"))
+    return _all(levels)
 
 
 def choose(candidates: DataFrame, key: list[str], *order) -> DataFrame:

@@ -93,7 +93,7 @@ SELECT a.t, m.m FROM a JOIN method m ON m.owner = a.anc WHERE m.is_abstract AND
 """)
 def uncovered_inherited(f: Facts) -> DataFrame:
     """Inherited abstract methods that no method of the type covers."""
-    up = links.ancestors(f.typ.select(F.col("t").alias("var"), "parent"), 12).where("depth > 0").select(F.col("var").alias("t"), F.col("anc").alias("owner"))
+    up = links.ancestors(f.typ.select(F.col("t").alias("var"), "parent")).where("depth > 0").select(F.col("var").alias("t"), F.col("anc").alias("owner"))
     wanted = up.join(f.method.where("is_abstract").select("m", "owner", "package"), "owner").select("t", "m", "package")
     own = f.method.where("not is_abstract").select(F.col("owner").alias("t"), "package").distinct()
     return wanted.join(own, ["t", "package"], "left_anti").select("t", "m")

@@ -130,7 +130,7 @@ def link_translation(f: Facts) -> DataFrame:
 @query("WITH RECURSIVE a(var, anc, depth) AS (SELECT t, t, 0 FROM typ UNION ALL SELECT a.var, typ.parent, depth + 1 FROM a JOIN typ ON typ.t = a.anc WHERE typ.parent IS NOT NULL AND depth < 12) SELECT var, anc, depth FROM a")
 def scope_closure(f: Facts) -> DataFrame:
     """All scopes of each variable with their distance."""
-    return links.ancestors(f.typ.select(F.col("t").alias("var"), "parent"), 12)
+    return links.ancestors(f.typ.select(F.col("t").alias("var"), "parent"))
 
 
 @query("""
