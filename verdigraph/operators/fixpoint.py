@@ -166,7 +166,7 @@ def null_reach(edges: DataFrame, seeds: DataFrame, contracts: DataFrame) -> Data
 
 
 def gated_null_reach(edges: DataFrame, seeds: DataFrame, contracts: DataFrame, gates: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Null flow with call-site gates (arg, result): a result opens once its own argument is reached.
+    """Null flow with gates (arg, result): a result opens once its arg is reached, as by an edge.
 
     Gates open only when nothing else moves, and the flow restarts from what they open.
     """

@@ -192,7 +192,7 @@ WITH RECURSIVE x(a, b) AS (SELECT src, dst FROM call_edge WHERE dst NOT IN (SELE
 r(node) AS (SELECT node FROM seed WHERE node NOT IN (SELECT m FROM contract) UNION SELECT x.b FROM r JOIN x ON x.a = r.node WHERE x.b NOT IN (SELECT m FROM contract)) SELECT node FROM r
 """)
 def null_reach_gated(f: Facts) -> DataFrame:
-    """Call results that open once their own argument is reached."""
+    """R18 with added edges from callee to caller at some call sites; the argument test of J20 is not built."""
     gates = f.call_site.where("site % 10 = 0").select(F.col("callee").alias("arg"), F.col("caller").alias("result"))
     return fixpoint.gated_null_reach(f.call_edge, f.seed, f.contract.select(F.col("m").alias("node")), gates)
 
