@@ -42,19 +42,37 @@ def test_groups_equal_brute_force(spark, docs):
     assert kept.columns == docs([]).columns and kept.where("doc_id is null").count() == 1
 
 
-def test_a_large_bucket_is_compared_across_labels(monkeypatch):
+def rows_of(**columns):
+    return similar.Rows({c: np.asarray(x) for c, x in columns.items()})
+
+
+def test_the_nearest_of_other_labels_is_proposed():
     r = np.random.default_rng(2)
-    base = r.integers(0, 2**63, (1, 2), dtype="u8")
+    base = r.integers(0, 2**62, (1, 2))
     prints = np.repeat(base, 300, axis=0)
     for k in range(300):
-        prints[k, k % 2] ^= np.uint64(int(r.integers(0, 2**63)) & int(r.integers(0, 2**63)) & int(r.integers(0, 2**63)))
-    label = np.where(r.random(300) < 0.1, np.arange(300), 7)
+        prints[k, k % 2] ^= int(r.integers(0, 2**62)) & int(r.integers(0, 2**62)) & int(r.integers(0, 2**62))
+    label = np.where(r.random(300) < 0.3, np.arange(300), 7)
     size = r.integers(90, 130, 300)
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if label[i] != label[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and np.bitwise_count(prints[i] ^ prints[j]).sum() <= similar.RADIUS}
-    for block in (2048, 64):
-        monkeypatch.setattr(similar, "BLOCK", block)
-        i, j = similar.bucket_pairs(prints, label, size)
-        assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} == want
+    rows = rows_of(node=np.arange(300), label=label, size=size, a=prints[:, 0], b=prints[:, 1])
+    want = {}
+    for i in range(300):
+        for j in range(300):
+            d = int(np.bitwise_count(rows.prints[i] ^ rows.prints[j]).sum())
+            if label[j] < label[i] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and d <= similar.RADIUS:
+                want[i] = min(want.get(i, (999, 0)), (d, j))
+    u, v, d = similar.nearest(rows, similar.bits_near(rows, np.arange(300)))
+    assert {i: (x, j) for i, j, x in zip(u.tolist(), v.tolist(), d.tolist())} == want and len(want) > 50
+
+
+def test_parity_never_exceeds_the_difference():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 40, 300, 3000):
+        for m in (0, 1, n // 4, 3 * n):
+            common, p, q = (np.unique(r.integers(0, 2**63, k).astype("u8")) for k in (n, m, m // 2))
+            x, y = np.union1d(common, p), np.union1d(common, q)
+            assert similar.parity_distance(similar.parity(x), similar.parity(y)) <= len(np.setxor1d(x, y))
+    assert similar.parity_distance(similar.parity(x), similar.parity(x)) == 0
 
 
 def test_empty(spark, docs):
@@ -89,14 +107,88 @@ def test_prefix_pairs_hold_every_similar_pair(monkeypatch):
     sets = [s for s in sets if len(s)] + [hot[:k].copy() for k in range(40, 60)]
     sets = [np.unique(s) for s in sets]
     counts = np.bincount(similar.slots(np.concatenate(sets)), minlength=similar.SLOTS)
-    rows = np.array(sorted((int(k), n, len(s), place) for n, s in enumerate(sets) for place, k in enumerate(similar.prefix(s, counts))), "i8").T
+    key, node, size, place = np.array(sorted((int(k.astype("i8")), n, len(s), place) for n, s in enumerate(sets) for place, k in enumerate(similar.prefix(s, counts))), "i8").T
     both = lambda p, q: len(np.intersect1d(p, q))
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if both(sets[i], sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j]) - both(sets[i], sets[j])) - 1e-9}
     assert len(want) > 100
     for block in (2048, 8):
         monkeypatch.setattr(similar, "BLOCK", block)
         for groups in (len(sets), 3):
-            label = rows[1] % groups
-            got = {(min(a, b), max(a, b)) for i, j in similar.prefix_pairs(rows[0], label, rows[2], rows[3]) for a, b in zip(rows[1][i].tolist(), rows[1][j].tolist())}
+            label = node % groups
+            rows = rows_of(key=key, node=node, label=label, size=size, place=place)
+            got = {(min(a, b), max(a, b)) for i, j in similar.prefix_pairs(rows) for a, b in zip(node[i].tolist(), node[j].tolist())}
             assert {(i, j) for i, j in want if i % groups != j % groups} <= got
             assert all(a % groups != b % groups for a, b in got)
+
+
+def near_copies(n, seed, least=40):
+    """Rows of a few large groups with many near pairs about 0.8, and ids that stand on two rows."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    bases = [[word() for _ in range(least * (k + 1))] for k in range(3)]
+    rows = []
+    for i in range(n):
+        words = list(bases[min(r.randrange(6), 2)])
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            words[r.randrange(len(words))] = word()
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def brute_groups(rows):
+    sets = [shingles(t) for _, t in rows]
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for x, (i, _) in enumerate(rows):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both >= 0.8 * (len(sets[x]) + len(sets[y]) - both):
+                a, b = sorted((root(i), root(rows[y][0])))
+                up[b] = a
+    return {i: root(i) for i in up}
+
+
+def test_hot_keys_are_split_without_loss(spark, docs, monkeypatch):
+    rows = near_copies(260, 11)
+    for c, n in (("HOT", 16), ("GRID", 8), ("RAYS", 4), ("BLOCK", 16), ("ROWS", 64)):
+        monkeypatch.setattr(similar, c, n)
+    got = {x.doc_id: x.component_id for x in similar.similar_groups(docs(rows)).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_prefixes_alone_find_all(spark, docs, monkeypatch):
+    """Without any SimHash candidate."""
+    monkeypatch.setattr(similar, "RADIUS", 0)
+    monkeypatch.setattr(similar, "ROUNDS", 1)
+    rows = near_copies(150, 12)
+    got = {x.doc_id: x.component_id for x in similar.similar_groups(docs(rows)).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_repeated_ids_with_different_texts_lose_no_link(spark, docs):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for g in range(12):
+        a, b = ([word() for _ in range(80)] for _ in range(2))
+        rows += [(3 * g, " ".join(a)), (3 * g, " ".join(b)), (3 * g + 1, " ".join([*b[:40], word(), *b[41:]]))]
+    got = {x.doc_id: x.component_id for x in similar.similar_groups(docs(rows)).collect()}
+    assert got == {i: i - i % 3 for i, _ in rows}
+
+
+def test_nothing_stays_behind(spark, docs):
+    import glob
+
+    from verdigraph import runtime
+
+    before = {t.name for t in spark.catalog.listTables()}
+    folder = runtime.shared_dir(spark).removeprefix("file://") + "/verdigraph/*"
+    files = set(glob.glob(folder))
+    groups = similar.similar_groups(docs(near_copies(60, 13)))
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert set(glob.glob(folder)) - files == {groups._verdigraph_path.removeprefix("file://")}

@@ -100,7 +100,6 @@ class Chunks:
                         yield batch(arrow, *map(list, zip(*rows)))
 
         bound_batches(self.spark)
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
         return self.table(side).mapInArrow(run, schema)
 
     def answer(self, answers: DataFrame, fn: Callable[[dict, list[dict]], Iterator[tuple]], schema: str, arrow: pa.Schema, side: int | None = None) -> DataFrame:
