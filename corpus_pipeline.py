@@ -2,7 +2,7 @@
 
 1. quality: rows whose text the line field scores below 0.5 go.
 2. near_dedup: of each group of near-duplicates (five-word shingles, similarity 0.8 or more; SimHash
-   and shingle-prefix candidates) the row with the smallest doc_id stays.
+   proposals, then an exact shingle-prefix search) the row with the smallest doc_id stays.
 3. decontaminate: rows contaminated by a benchmark item go.
 4. secrets: secrets in the texts are masked; every row stays.
 5. encode: ids of the byte-level BPE for every text that is left.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigraph.llm import bpe, decontaminate, quality, secrets, similar
-from verdigraph.runtime import durable, table
+from verdigraph.runtime import discard, durable, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the ``documents`` of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        before, docs = docs, durable(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
