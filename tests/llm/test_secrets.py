@@ -46,3 +46,14 @@ def test_redaction(spark, docs):
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(d).collect()}
     assert got == {1: (None, None), 2: ("[secret] and [secret].", 22), 3: ("clean", 5)}
     assert secrets.redact(d).columns == d.columns
+
+
+def test_a_long_run_of_digits_keeps_no_hits():
+    import tracemalloc
+
+    text = "0f" * 1_000_000
+    secrets.find("")
+    tracemalloc.start()
+    assert secrets.find(text) == [(0, "hex", len(text))]
+    assert tracemalloc.get_traced_memory()[1] < 12_000_000
+    tracemalloc.stop()
