@@ -36,7 +36,18 @@ def test_random_texts_equal_the_library(text):
     assert own.decode(own.encode(text)) == text
 
 
-def test_memo_keeps_two_generations():
-    memo = bpe.Memo(lambda k: k + 1, size=3)
-    assert [memo[k] for k in (1, 2, 3, 4, 1, 2)] == [2, 3, 4, 5, 2, 3]
+def test_memo_keeps_two_generations_of_bytes():
+    memo = bpe.Memo(lambda k: [k], lambda k: k.encode(), size=3 * (bpe.ENTRY_BYTES + 2))
+    assert [memo[k] for k in "abcdab"] == [k.encode() for k in "abcdab"]
     assert len(memo) <= 3 and len(memo.old) <= 3
+    long = "x" * bpe.LONG
+    assert memo[long] == long.encode() and long not in memo and long not in memo.old
+
+
+def test_a_long_text_without_spaces_is_not_remembered():
+    import public_tokenizers
+
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "ab" * 200_000
+    assert codec.decode(codec.encode(text)) == text
+    assert sum(map(len, codec.pieces)) < 1000

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import batch, documents, map_batches, texts
 
-#: Entries of one generation of the memo; two generations are alive at most.
-MEMO_ENTRIES = 150_000
+#: Bytes of one generation of a memo (two are alive at most), bytes that an entry takes besides its key
+#: and value, and length from which a piece of text is too rare to be remembered.
+MEMO_BYTES, ENTRY_BYTES, LONG = 32 << 20, 180, 64
 
 #: Fixed value: the pre-token pattern that byte-level BPE vocabularies of this kind are made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,18 +38,27 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and holds two generations of ``size`` entries."""
+    """Ids of pre-tokens: computes what it lacks and holds two generations of ``size`` bytes.
 
-    def __init__(self, compute, size: int = MEMO_ENTRIES):
+    Keys may be several pre-tokens long; only single ones are remembered.
+    """
+
+    def __init__(self, split, compute, size: int = MEMO_BYTES):
         super().__init__()
-        self.compute, self.size, self.old = compute, size, {}
+        self.split, self.compute, self.size, self.held, self.old = split, compute, size, 0, {}
 
-    def __missing__(self, key):
+    def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
+            parts = self.split(key)
+            if len(parts) > 1:
+                return b"".join(map(self.__getitem__, parts))
             value = self.compute(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        if len(key) >= LONG:
+            return value
+        self.held += len(key) + len(value) + ENTRY_BYTES
+        if self.held > self.size:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = value
         return value
@@ -82,18 +92,17 @@ class Codec:
         self.special_re = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.special_ids = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
         self.split = regex.compile(PATTERN).findall
-        self.words = Memo(self.merge)
-        self.pieces = Memo(lambda piece: b"".join(map(self.words.__getitem__, self.split(piece))))
+        self.pieces = Memo(self.split, self.merge)
+        # Ranks of pairs of bytes, in place for the heap; -1 where there is no merge.
+        pairs = [self.rank.get(a << 20 | b) for a in self.byte_id for b in self.byte_id]
+        self.start = [-1 if r is None else r << 32 for r in pairs]
 
     def merge(self, word: str) -> bytes:
         """Ids of one pre-token as little-endian 32-bit integers."""
-        ids = [self.byte_id[b] for b in word.encode("utf-8")]
-        n, rank = len(ids), self.rank
-        heap = []
-        for i in range(n - 1):
-            r = rank.get(ids[i] << 20 | ids[i + 1])
-            if r is not None:
-                heap.append(r << 32 | i)
+        raw = word.encode("utf-8")
+        ids = list(map(self.byte_id.__getitem__, raw))
+        n, rank, start = len(ids), self.rank, self.start
+        heap = [r | i for i, (a, b) in enumerate(zip(raw, raw[1:])) if (r := start[a << 8 | b]) >= 0]
         if heap:
             heapq.heapify(heap)
             following, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -121,11 +130,11 @@ class Codec:
 
     def _plain(self, text: str) -> bytes:
         if _loose_space.search(text):
-            return b"".join(map(self.words.__getitem__, self.split(text)))
+            return b"".join(map(self.pieces.__getitem__, self.split(text)))
         # Every space stands between two characters that are no space, so pre-tokens start there.
         first, *rest = text.split(" ")
         if not rest:
-            return b"".join(map(self.words.__getitem__, self.split(text)))
+            return b"".join(map(self.pieces.__getitem__, self.split(text)))
         if not rest[-1]:  # a space at the end is a pre-token of its own
             rest.pop()
             tail = self.pieces[" "]
