@@ -76,3 +76,17 @@ def test_damage_is_found():
         list(token_files.ShardReader(Source(bytes(data))).read())
     with pytest.raises(ValueError, match="seek table"):
         token_files.ShardReader(Source(bytes(data[:-1])))
+
+
+def test_long_words_are_encoded_but_not_remembered(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library = token_files.WordEncoder(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(token_files, "MEMO_BYTES", 2000)
+    texts = ["x" * 5000 + " plain", "plain words", "y" * 64 + "\x01z", *(f"w{i} v{i}" for i in range(40))]
+    for _ in range(2):
+        for t, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+        assert not any(len(w) >= token_files.LONG for w in [*encoder.memo, *encoder.old])

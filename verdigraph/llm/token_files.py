@@ -37,8 +37,9 @@ CHECKSUM_FLAG = 0x80
 FRAME_BYTES = 1 << 17
 SHARD_BYTES = 1 << 27
 LEVEL = 3
-#: Words in one generation of a worker's memo; two generations are alive at most.
-MEMO_ENTRIES = 400_000
+#: Bytes of one generation of a worker's memo (two are alive at most), bytes that an entry takes besides
+#: its key and value, and length from which a word is too rare to be remembered.
+MEMO_BYTES, ENTRY_BYTES, LONG = 80 << 20, 170, 64
 #: Stands between words that are encoded in one call; a word that holds it is encoded alone.
 MARK = b"\x01"
 
@@ -147,8 +148,9 @@ class WordEncoder:
         self.mark = mark[0] if len(mark) == 1 else None
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
-    def _learn(self, fresh: list[bytes]) -> None:
+    def _learn(self, fresh: list[bytes], memo: dict[bytes, bytes]) -> None:
         """Encode words a few thousand to a call, with a mark between them whose id tells them apart."""
         plain = [w for w in fresh if MARK not in w] if self.mark is not None else []
         for k in range(0, len(plain), 4096):
@@ -159,26 +161,32 @@ class WordEncoder:
             starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
             raw = ids.tobytes()
             for word, a, b in zip(part, starts, ends, strict=True):
-                self.memo[word] = raw[a:b]
+                memo[word] = raw[a:b]
         for word in fresh:
-            if word not in self.memo:
-                self.memo[word] = np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+            if word not in memo:
+                memo[word] = np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts_: list[str]) -> list[np.ndarray]:
         split = [t.encode("utf-8").split() for t in texts_]
-        if len(self.memo) >= MEMO_ENTRIES:
-            self.old, self.memo = self.memo, {}
+        if self.held > MEMO_BYTES:
+            self.old, self.memo, self.held = self.memo, {}, 0
         memo, old = self.memo, self.old
         missing = set().union(*split).difference(memo) if split else set()
-        fresh = []
+        fresh, long = [], {}
         for word in missing:
             known = old.get(word)
-            if known is None:
-                fresh.append(word)
-            else:
+            if known is not None:
                 memo[word] = known
-        self._learn(fresh)
-        return [np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4") for words in split]
+            elif len(word) >= LONG:
+                long[word] = b""
+            else:
+                fresh.append(word)
+        self._learn(fresh, memo)
+        self.held += sum(len(w) + len(memo[w]) + ENTRY_BYTES for w in missing if w not in long)
+        if not long:
+            return [np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4") for words in split]
+        self._learn(list(long), found := {})
+        return [np.frombuffer(b"".join([found[w] if w in long else memo[w] for w in words]), "<u4") for words in split]
 
 
 _encoders: dict[str, WordEncoder] = {}
