@@ -47,3 +47,11 @@ def test_a_pure_tone_peaks_at_its_bin():
     tone = np.round(128 + 100 * np.sin(2 * np.pi * 40 * n / media.FRAME)).astype("u1").tobytes()
     t, f = media.peaks(media.spectrogram(tone))
     assert set(f[np.unique(t, return_index=True)[1]]) == {40}
+
+
+def test_stripes_change_nothing(monkeypatch):
+    samples = media.padded(bytes(np.random.default_rng(9).integers(0, 256, 40 * 576, dtype="u1")))
+    whole = media.fingerprint(samples)
+    for stripe in (1, 2, 7):
+        monkeypatch.setattr(media, "STRIPE", stripe)
+        assert all((a == b).all() for a, b in zip(whole, media.fingerprint(samples)))

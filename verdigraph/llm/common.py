@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,5 +38,18 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, upper, upper.lower())
 
 
+def portions(b: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in portions of about ``most`` bytes of ``column``, one row at least."""
+    sizes = pa.compute.binary_length(b.column(column)).to_pylist()
+    start = held = 0
+    for at, n in enumerate(sizes):
+        if at > start and held + (n or 0) > most:
+            yield b.slice(start, at - start)
+            start, held = at, 0
+        held += n or 0
+    if sizes:
+        yield b.slice(start)
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema)], schema=schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, documents, map_batches, texts
+from .common import batch, documents, map_batches, portions, texts
 
 RATE = 8_000
 #: Samples are stored in whole blocks of this many; the last is filled up with PAD.
@@ -27,6 +27,9 @@ FRAME, HOP = 576, 288
 #: Peaks kept a frame, neighbouring bins a peak must exceed, and later frames a pair may span.
 PEAKS, NEIGHBOURS, SPAN = 3, 4, 3
 
+#: Frames transformed at a time.
+STRIPE = 4096
+
 _WINDOW = np.hanning(FRAME)
 
 
@@ -77,9 +80,19 @@ def peaks(magnitude: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[keep], f[keep]
 
 
+def peaks_of(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``peaks`` of a whole file, transformed STRIPE frames at a time: a frame's peaks are its own."""
+    found = []
+    for at in range(0, max(1, (len(samples) - FRAME) // HOP + 1), STRIPE):
+        t, f = peaks(spectrogram(samples[at * HOP : (at + STRIPE - 1) * HOP + FRAME]))
+        found.append((t + at, f))
+    t, f = zip(*found)
+    return np.concatenate(t), np.concatenate(f)
+
+
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(codes int32, times int32) of every pair of peaks up to SPAN frames apart; within a frame the lower bin comes first."""
-    t, f = peaks(spectrogram(samples))
+    t, f = peaks_of(samples)
     per = np.bincount(t, minlength=int(t[-1]) + 1 if len(t) else 1)
     first = np.concatenate([[0], np.cumsum(per)])
     codes, times = [], []
@@ -108,7 +121,7 @@ def with_media(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for y in batches for x in portions(y, "text")):
             raw = b.column("text").cast(pa.binary()).to_pylist()
             yield batch(schema, b.column("doc_id"), [len(r) for r in raw], [to_wav(padded(r)) for r in raw])
 
@@ -124,7 +137,7 @@ def features(media: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media", pa.binary()), ("codes", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for y in batches for x in portions(y, "media")):
             media_ = b.column("media").to_pylist()
             payload = [from_wav(m) for m in media_]
             prints = [fingerprint(p) for p in payload]
