@@ -11,6 +11,7 @@ never all their pairs; connected components run as joins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigraph.operators import components
-from verdigraph.runtime import durable, width
+from verdigraph.runtime import discard, durable, width
 
 from . import bitslice
 from .common import batch, documents, map_batches, texts
@@ -128,24 +129,37 @@ def bucket_links(members: DataFrame, radius: int) -> DataFrame:
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect all fingerprints (column fp, distinct) at most RADIUS bits apart."""
+    """Links (u, v) that connect all fingerprints (column fp, distinct) at most RADIUS bits apart.
+
+    A written table. A bucket that can't be split any more holds at most 2**11 fingerprints and is
+    compared whatever their number.
+    """
     spark = nodes.sparkSession
     first, finer = split_masks()
     children = spark.createDataFrame([(_signed(a), _signed(b)) for a, b in finer], "mask long, child long")
     members = nodes.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in first))).alias("mask"))
-    links = None
+    found: list[DataFrame] = []
     while True:
         members = members.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
         counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        placed = durable(members.join(counts, "bucket"), "buckets")
-        small = placed.where(F.col("n") <= BUCKET)
-        found = bucket_links(small.select("bucket", F.col("fp").alias("node"), F.expr("unhex(lpad(hex(fp), 16, '0'))").alias("fp")), RADIUS)
-        links = found if links is None else links.unionByName(found)
-        large = placed.where(F.col("n") > BUCKET)
-        if large.isEmpty():
-            return links
         # The table of splits has a few hundred rows whatever the data.
-        members = large.join(F.broadcast(children), "mask").select("fp", F.col("child").alias("mask"))
+        can_split = F.broadcast(children.select("mask", F.lit(True).alias("open")).distinct())
+        placed = durable(members.join(counts, "bucket").join(can_split, "mask", "left").withColumn("large", F.col("open").isNotNull() & (F.col("n") > BUCKET)), "buckets")
+        small = placed.where("not large")
+        found.append(durable(bucket_links(small.select("bucket", F.col("fp").alias("node"), F.expr("unhex(lpad(hex(fp), 16, '0'))").alias("fp")), RADIUS), "links"))
+        large = placed.where("large")
+        if large.isEmpty():
+            break
+        # A fingerprint comes to the same finer bucket on several ways.
+        members = durable(large.join(F.broadcast(children), "mask").select("fp", F.col("child").alias("mask")).distinct(), "members")
+        found.append(members)
+        discard(placed)
+    discard(placed)
+    links = [x for x in found if "u" in x.columns]
+    out = durable(reduce(DataFrame.unionByName, links), "links")
+    for x in found:
+        discard(x)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -157,10 +171,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = durable(fingerprints(docs), "fingerprints")
     nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    root = components.roots(near_links(nodes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    links = near_links(nodes.select("fp"))
+    found = components.roots(links)
+    discard(links)
+    root = found.select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = nodes.join(root, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    out = durable(prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id"), "near-duplicates")
+    for x in (prints, nodes, found):
+        discard(x)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
