@@ -8,18 +8,20 @@ terms then confirm or reject those starts, exactly (phrase) or up to ``slop`` wo
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdigraph.runtime import durable, table
+from verdigraph.runtime import discard, durable, table
 
 WINDOW = 13
 #: A document is contaminated from one hit word in this many on.
 ONE_IN = 20
 #: Rows up to which a side is broadcast; it is counted first, and joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
+#: The same for rows of two numbers.
+BROADCAST_MARKS = 1_000_000
 
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -46,6 +48,8 @@ class Phrases:
     terms: DataFrame
     items: DataFrame
     vocabulary: DataFrame
+    #: Tables to delete when the matches are no longer read.
+    written: list[DataFrame] = field(default_factory=list)
 
     @staticmethod
     def of(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> Phrases:
@@ -56,7 +60,7 @@ class Phrases:
         cut = durable(cut.select(F.xxhash64("phrase").alias("wid"), "item", "phrase"), "phrases")
         terms = cut.select("wid", "phrase").dropDuplicates(["wid"]).select("wid", F.size("phrase").alias("len"), F.posexplode("phrase").alias("off", "word"))
         vocabulary = durable(terms.select("word").distinct().select("word", F.xxhash64("word").alias("term")), "vocabulary")
-        return Phrases(terms.select("wid", "off", "len", F.xxhash64("word").alias("term")), cut.select("wid", "item").distinct(), vocabulary)
+        return Phrases(terms.select("wid", "off", "len", F.xxhash64("word").alias("term")), cut.select("wid", "item").distinct(), vocabulary, [cut])
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,6 +98,7 @@ def matches(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
     by_wid = Window.partitionBy("wid")
     ranked = phrases.terms.join(counts, "term").withColumn("rank", F.row_number().over(by_wid.orderBy("found", "off"))).withColumn("have", F.count(F.lit(1)).over(by_wid))
     ranked = durable(ranked.where("have = len").drop("have"), "ranked")  # a term without postings rules its phrases out
+    phrases.written.append(ranked)
     rarest = ranked.where("rank = 1").select("wid", "term", "off")
     n_phrases = rarest.count()
     starts = postings.join(_small(rarest, n_phrases), "term").select("row", "wid", (F.col("pos") - F.col("off")).alias("start")).where(F.col("start") >= -slop)
@@ -105,8 +110,10 @@ def matches(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
         # The two rarest lists, both short, meet first.
         other = postings.join(_small(second, n_phrases), "term").select("row", "wid", (F.col("pos") - F.col("off")).alias("start"))
         starts = durable(starts.join(other, ["row", "wid", "start"]).unionByName(starts.join(_small(alone, n_phrases), "wid", "left_semi")), "starts")
+    phrases.written.append(starts)
     rest = ranked.where("rank > 1" if slop else "rank > 2").select("wid", "off", "term", (F.col("len") - (1 if slop else 2)).alias("need"))
     rows = durable(starts.select("row").distinct(), "rows")
+    phrases.written.append(rows)
     few = postings.join(_small(rows, rows.count()), "row", "left_semi")
     lengths = ranked.select("wid", "len").distinct()
     whole = lengths.where("len = 1" if slop else "len <= 2").select("wid")
@@ -117,6 +124,7 @@ def matches(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
 def documents_hit(index: DataFrame, phrases: Phrases, found: DataFrame) -> DataFrame:
     """One line a document row: row, doc_id, n_words, n_hit, n_items, items array<string>, contaminated."""
     found = durable(found, "matches")
+    phrases.written.append(found)
     before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.groupBy("row", "start").agg(F.max(F.col("start") + F.col("len")).alias("stop"))
     spans = spans.withColumn("reached", F.coalesce(F.max("stop").over(before), F.lit(0)))
@@ -144,16 +152,21 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated.
 
-    A row is told by its doc_id and text together, so repeated rows share one fate, and a null id or
-    text is a value like others.
+    A row is told by its doc_id and text together (128 bits), so repeated rows share one fate; a null id
+    or text counts as an empty one.
     """
     phrases = Phrases.of(items)
-    known = F.array(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"], F.lit("")))
-    mark = F.sha2(F.to_json(known), 256)
+    known = F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"], F.lit(""))
+    mark = F.struct(F.xxhash64(*known).alias("h"), F.xxhash64(F.lit(1), *known).alias("i"))
     index = build_index(docs.select(mark.alias("doc_id"), "text"), phrases.vocabulary)
-    hit = documents_hit(index, phrases, matches(index, phrases)).where("contaminated")
-    dirty = durable(hit.select(F.col("doc_id").alias("mark")).distinct(), "contaminated")
-    return docs.join(dirty, mark == dirty["mark"], "left_anti")
+    found = matches(index, phrases)
+    hit = documents_hit(index, phrases, found).where("contaminated")
+    dirty = durable(hit.select(F.col("doc_id.h").alias("h"), F.col("doc_id.i").alias("i")).distinct(), "contaminated")
+    # Sent whole where it is small enough: else every text would move for the few that go.
+    sent = F.broadcast(dirty) if dirty.count() <= BROADCAST_MARKS else dirty
+    for df in (index, phrases.vocabulary, *phrases.written):
+        discard(df)
+    return docs.join(sent, (mark["h"] == dirty["h"]) & (mark["i"] == dirty["i"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
