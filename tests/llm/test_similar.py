@@ -75,6 +75,21 @@ def test_parity_never_exceeds_the_difference():
     assert similar.parity_distance(similar.parity(x), similar.parity(x)) == 0
 
 
+def test_sketches_of_rows_keep_every_similar_pair(monkeypatch):
+    r = np.random.default_rng(4)
+    sets = []
+    for n in (3, 20, 150, 900):
+        base = r.integers(0, 2**63, n).astype("u8")
+        sets += [np.unique(np.concatenate([base[r.random(n) > 0.06], r.integers(0, 2**63, n // 12).astype("u8")])) for _ in range(25)]
+    i, j = np.triu_indices(len(sets), 1)
+    near = np.array([similar.similar(sets[a], sets[b]) for a, b in zip(i, j)])
+    for bits in (64, 256, 1024):
+        rows = rows_of(size=[len(s) for s in sets], tip=np.array([similar.parity(s, bits) for s in sets], object))
+        got = {(a, b) for x, y in similar.not_too_far(rows, [(i[:3000], j[:3000]), (i[3000:], j[3000:])]) for a, b in zip(x.tolist(), y.tolist())}
+        assert {(a, b) for a, b in zip(i[near].tolist(), j[near].tolist())} <= got
+    assert near.sum() > 300 and len(got) < len(i) / 2
+
+
 def test_empty(spark, docs):
     assert similar.similar_groups(docs([])).count() == 0
     assert similar.keep_one_each(docs([])).count() == 0

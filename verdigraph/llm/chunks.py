@@ -103,13 +103,16 @@ class Chunks:
         return self.table(side).mapInArrow(run, schema)
 
     def answer(self, answers: DataFrame, fn: Callable[[dict, list[dict]], Iterator[tuple]], schema: str, arrow: pa.Schema, side: int | None = None) -> DataFrame:
-        """``fn`` (chunk, its rows of ``answers``) gives rows of ``schema``; the chunks don't move."""
+        """``fn`` (chunk, its rows of ``answers``) gives rows of ``schema``, or all of them as one table;
+        the chunks don't move."""
 
         def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
             rows: list[tuple] = []
-            for chunk in left.to_pylist():
-                rows += fn(unpack(chunk), right.to_pylist())
-            columns = list(zip(*rows)) if rows else [[] for _ in arrow]
+            for chunk in left.to_pylist():  # one, or none where answers have no chunk
+                rows = fn(unpack(chunk), right.to_pylist())
+            if isinstance(rows, pa.Table):
+                return rows
+            columns = list(zip(*rows)) or [[] for _ in arrow]
             return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
         bound_batches(self.spark)

@@ -10,9 +10,9 @@ more. Every link is decided by the sets themselves. Three things look for links:
    SIMILARITY or more share a shingle among the first n - ceil(SIMILARITY n) + 1 of each. Again each
    text gets the nearest of the texts of other components that such shingles allow.
 3. All by prefix. Every pair that is still in different components, shares a prefix shingle and can
-   reach SIMILARITY by sizes and places is checked: first by a parity sketch, whose distance never
-   exceeds the sets' difference, then by the sets. This leaves no near pair to chance, so the groups
-   are exact up to collisions of 64-bit hashes.
+   reach SIMILARITY by sizes and places is checked: first, where its rows meet, by a parity sketch,
+   whose distance never exceeds the sets' difference, then by a longer one, then by the sets. This
+   leaves no near pair to chance, so the groups are exact up to collisions of 64-bit hashes.
 
 Texts are packed in chunks once; requests for a text's shingles travel to its chunk, texts never move.
 Table keys with over HOT members are cut in pieces by chance (the prefix search makes up for that);
@@ -22,7 +22,7 @@ prefix shingles with over GRID members are compared in a grid of blocks, all aga
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +49,10 @@ BLOCK, HOT, GRID, RAYS = 2048, 4096, 4096, 1024
 SLOTS, SLOT_PARTS = 1 << 18, 64
 #: Members of a shingle that are compared by shifted columns; more are compared in blocks.
 FEW = 16
-#: Sorted rows that are compared at a time.
+#: Sorted rows that are compared at a time, and pairs whose sketches are.
 ROWS = 1 << 16
+#: Bits of the parity sketches that travel with prefix rows; those of the texts grow with the text.
+TIP_BITS = 1024
 #: Ids to drop that are sent to every executor; more are joined.
 SENT_IDS = 1_000_000
 
@@ -84,9 +86,9 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(np.array([fold(shingles), fold(mixed ^ (mixed >> np.uint64(28)))], "<u8").view("<i8").tolist())
 
 
-def parity(shingles: np.ndarray) -> bytes:
-    """One bit a slot, set if an odd number of shingles falls in it; at least two slots a shingle."""
-    size = 1 << max(6, (2 * len(shingles)).bit_length())
+def parity(shingles: np.ndarray, most: int = 1 << 62) -> bytes:
+    """One bit a slot, set if an odd number of shingles falls in it; two slots a shingle up to ``most``."""
+    size = min(most, 1 << max(6, (2 * len(shingles)).bit_length()))
     odd = np.bincount((shingles >> np.uint64(8) & np.uint64(size - 1)).astype("i8"), minlength=size) & 1
     return np.packbits(odd.astype("u1"), bitorder="little").tobytes()
 
@@ -99,6 +101,36 @@ def parity_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def not_too_far(rows: Rows, pairs):
+    """Those ``pairs`` of rows whose short sketches (column tip) don't differ more than similar sets can."""
+    length = np.array([len(x) for x in rows.tip.tolist()])
+    place, planes = np.zeros(len(length), "i8"), {}
+    for n in np.unique(length).tolist():
+        at = np.flatnonzero(length == n)
+        place[at] = np.arange(len(at))
+        planes[n] = np.frombuffer(b"".join(rows.tip[at].tolist()), "<u8").reshape(len(at), -1)
+
+    def folded(n: int, to: int, at: np.ndarray) -> np.ndarray:
+        return np.bitwise_xor.reduce(planes[n][place[at]].reshape(len(at), n // to, -1), axis=1)
+
+    for i, j in pairs:
+        keep = np.zeros(len(i), bool)
+        kinds = length[i] << 32 | length[j]
+        for kind in np.unique(kinds).tolist():
+            a, b = kind >> 32, kind & 0xFFFFFFFF
+            of_kind = np.flatnonzero(kinds == kind)
+            for k in range(0, len(of_kind), ROWS):
+                at = of_kind[k : k + ROWS]
+                apart = np.bitwise_count(folded(a, min(a, b), i[at]) ^ folded(b, min(a, b), j[at])).sum(axis=1, dtype="i8")
+                keep[at] = apart <= most_apart(rows.size[i[at]], rows.size[j[at]])
+        yield i[keep], j[keep]
+
+
+def most_apart(m, n):
+    """Shingles that only one of two similar sets of sizes m and n may have."""
+    return (1 - SIMILARITY) / (1 + SIMILARITY) * (m + n) + 1e-6
+
+
 def similar(p: np.ndarray, q: np.ndarray) -> bool:
     both = len(np.intersect1d(p, q, assume_unique=True))
     return both >= SIMILARITY * (len(p) + len(q) - both) - 1e-9
@@ -108,7 +140,7 @@ def slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(40)).astype("i8") & (SLOTS - 1)
 
 
-SKETCH = "doc_id long, chunk long, at long, node long, a long, b long, size long, odd binary"
+SKETCH = "doc_id long, chunk long, at long, node long, a long, b long, size long, tip binary, odd binary"
 
 
 def sketches(chunks: Chunks) -> DataFrame:
@@ -117,21 +149,21 @@ def sketches(chunks: Chunks) -> DataFrame:
     ``node`` names the text's sequence of lower-cased words. Texts without words have node 0 and no
     fingerprint (a, b); they are copies of each other.
     """
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "chunk", "at", "node", "a", "b", "size")] + [("odd", pa.binary())])
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "chunk", "at", "node", "a", "b", "size")] + [("tip", pa.binary()), ("odd", pa.binary())])
 
     def sketch(chunk: dict) -> Iterator[tuple]:
         total = np.zeros(SLOTS, "<u4")
         for at, (doc, body) in enumerate(zip(chunk["ids"], bodies(chunk))):
             words = words_of(body)
             if not words:
-                yield doc, chunk["chunk"], at, 0, None, None, 0, None
+                yield doc, chunk["chunk"], at, 0, None, None, 0, None, None
                 continue
             shingles = shingle_set(words)
             total += np.bincount(slots(shingles), minlength=SLOTS).astype("<u4") if len(shingles) > 4096 else 0
             if len(shingles) <= 4096:
                 np.add.at(total, slots(shingles), 1)
-            yield doc, chunk["chunk"], at, node_id(words), *fingerprint(shingles), len(shingles), parity(shingles)
-        yield None, chunk["chunk"], None, None, None, None, None, squeeze(total)
+            yield doc, chunk["chunk"], at, node_id(words), *fingerprint(shingles), len(shingles), parity(shingles, TIP_BITS), parity(shingles)
+        yield None, chunk["chunk"], None, None, None, None, None, None, squeeze(total)
 
     return chunks.map(sketch, SKETCH, schema)
 
@@ -284,24 +316,19 @@ def bits_near(rows: Rows, at: np.ndarray):
         yield at[i[fits]], at[j[fits]]
 
 
-def located(chunks: Chunks, wanted: DataFrame, fn: Callable[[dict, np.ndarray], Iterator[tuple]], schema: str, arrow: pa.Schema) -> DataFrame:
-    """``fn`` (request, shingles) for requests with ``chunk`` and ``at``; a text is read once for all."""
-
-    def run(chunk: dict, requests: list[dict]) -> Iterator[tuple]:
-        if not requests:
-            return
-        requests.sort(key=lambda r: r["at"])
-        text = dict.fromkeys(r["at"] for r in requests)
+def asked(chunk: dict, requests: list[dict]) -> Iterator[tuple[dict, np.ndarray]]:
+    """(request, shingles of the text at its ``at``); a text is read once for all its requests."""
+    requests.sort(key=lambda r: r["at"])
+    text = dict.fromkeys(r["at"] for r in requests)
+    if text:
         for at, body in enumerate(bodies(chunk)):
             if at in text:
                 text[at] = body
-        held, shingles = -1, np.zeros(0, "<u8")
-        for r in requests:
-            if r["at"] != held:
-                held, shingles = r["at"], shingle_set(words_of(text[r["at"]]))
-            yield from fn(r, shingles)
-
-    return chunks.answer(wanted, run, schema, arrow)
+    held, shingles = -1, np.zeros(0, "<u8")
+    for r in requests:
+        if r["at"] != held:
+            held, shingles = r["at"], shingle_set(words_of(text[r["at"]]))
+        yield r, shingles
 
 
 def checked(chunks: Chunks, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -316,7 +343,11 @@ def checked(chunks: Chunks, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     rays = pairs.join(hubs, "v").select(F.col("u").alias("node"), "v", F.pmod(F.xxhash64("u"), spread).cast("int").alias("piece"))
     wanted = centres.unionByName(rays).join(place, "node")
     schema = pa.schema([("v", pa.int64()), ("piece", pa.int32()), ("node", pa.int64()), ("shingles", pa.binary())])
-    sets = located(chunks, wanted, lambda r, shingles: [(r["v"], r["piece"], r["node"], shingles.tobytes())], "v long, piece int, node long, shingles binary", schema)
+
+    def send(chunk: dict, requests: list[dict]) -> Iterator[tuple]:
+        return ((r["v"], r["piece"], r["node"], shingles.tobytes()) for r, shingles in asked(chunk, requests))
+
+    sets = chunks.answer(wanted, send, "v long, piece int, node long, shingles binary", schema)
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,20 +376,14 @@ def prefix_rows(chunks: Chunks, nodes: DataFrame, counts: np.ndarray) -> DataFra
     schema = pa.schema([(c, pa.int64()) for c in names])
     common = HOT + 8 * int(counts.mean())
 
-    def pack(r: dict, shingles: np.ndarray) -> Iterator[tuple]:
-        own = prefix(shingles, counts)
-        pieces = np.where(counts[slots(own)] > common, 1 + r["node"] % 997, 0)
-        yield r["node"], own.tobytes(), pieces.astype("<i8").tobytes()
-
-    packed = located(chunks, nodes.where("size > 0").select("chunk", "at", "node"), pack, "node long, keys binary, pieces binary", pa.schema([("node", pa.int64()), ("keys", pa.binary()), ("pieces", pa.binary())]))
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column("keys").to_pylist()
-            lengths = np.array([len(p) // 8 for p in keys], "i8")
-            repeat = np.repeat(np.arange(len(lengths)), lengths)
-            place = np.arange(len(repeat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            yield batch(schema, np.frombuffer(b"".join(keys), "<i8"), np.asarray(b.column("node"))[repeat], place, np.frombuffer(b"".join(b.column("pieces").to_pylist()), "<i8"))
+    def send(chunk: dict, requests: list[dict]) -> pa.Table:
+        found = [(r["node"], prefix(shingles, counts)) for r, shingles in asked(chunk, requests)]
+        lengths = [len(own) for _, own in found]
+        keys = np.concatenate([np.zeros(0, "<u8"), *(own for _, own in found)])
+        node = np.repeat(np.array([n for n, _ in found], "i8"), lengths)
+        place = np.concatenate([np.zeros(0, "i8"), *map(np.arange, lengths)]).astype("i8")
+        piece = np.where(counts[slots(keys)] > common, 1 + node % 997, 0)
+        return pa.table([pa.array(c) for c in (keys.view("<i8"), node, place, piece)], schema=schema)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_key(batches, "key"):
@@ -368,7 +393,7 @@ def prefix_rows(chunks: Chunks, nodes: DataFrame, counts: np.ndarray) -> DataFra
             keep[:-1] |= again
             yield batch(schema, *(getattr(rows, c)[keep] for c in names))
 
-    rows = map_batches(packed, unpack, ", ".join(f"{c} long" for c in names))
+    rows = chunks.answer(nodes.where("size > 0").select("chunk", "at", "node"), send, ", ".join(f"{c} long" for c in names), schema)
     dealt = rows.repartition(width(chunks.spark), "key", "piece").sortWithinPartitions("key")
     return durable(map_batches(dealt, shared, ", ".join(f"{c} long" for c in names)).drop("piece"), "prefixes")
 
@@ -433,7 +458,8 @@ def grid(ready: DataFrame, hot: DataFrame) -> DataFrame:
 def prefix_search(shared: DataFrame, labelled: DataFrame, only_nearest: bool) -> DataFrame:
     """(u, v): for each node the nearest of another label among all that prefixes allow, or all those."""
     spark = shared.sparkSession
-    ready = shared.join(labelled.select("node", "label", "size", "a", "b"), "node").select("key", "node", "label", "size", "place", "a", "b")
+    has = ["a", "b"] if only_nearest else ["tip"]
+    ready = shared.join(labelled.select("node", "label", "size", *has), "node").select("key", "node", "label", "size", "place", *has)
     # A key whose nodes are one component has nothing to say.
     mixed = shared.join(labelled.select("node", "label"), "node").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
     mixed = durable(mixed, "mixed")
@@ -444,7 +470,7 @@ def prefix_search(shared: DataFrame, labelled: DataFrame, only_nearest: bool) ->
             if only_nearest:
                 yield batch(PROPOSED, *nearest(rows, prefix_pairs(rows)))
                 continue
-            for i, j in prefix_pairs(rows):
+            for i, j in not_too_far(rows, prefix_pairs(rows)):
                 if len(i):
                     u, v = np.unique(np.stack([np.maximum(rows.node[i], rows.node[j]), np.minimum(rows.node[i], rows.node[j])]), axis=1)
                     yield batch(PROPOSED, u, v, np.zeros(len(u), "i8"))
@@ -467,7 +493,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            most = (1 - SIMILARITY) / (1 + SIMILARITY) * (np.asarray(b.column("m")) + np.asarray(b.column("n"))) + 1e-6
+            most = most_apart(np.asarray(b.column("m")), np.asarray(b.column("n")))
             keep = [parity_distance(x, y) <= z for x, y, z in zip(b.column("p").to_pylist(), b.column("q").to_pylist(), most.tolist())]
             kept = b.filter(pa.array(keep, pa.bool_()))
             yield batch(schema, kept.column("u"), kept.column("v"))
@@ -487,7 +513,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     chunks = Chunks(texts, CHUNK_BYTES)
     told = durable(sketches(chunks), "sketches")
     known = told.where("at is not null").select("doc_id", "node")
-    nodes = durable(told.where("at is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("chunk", "at", "a", "b", "size", "odd")).alias("text")).select("node", "first", "text.*"), "nodes")
+    nodes = durable(told.where("at is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("chunk", "at", "a", "b", "size", "tip", "odd")).alias("text")).select("node", "first", "text.*"), "nodes")
     links: list[DataFrame] = []
     root = components.roots(nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0))
 
@@ -499,7 +525,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     def labelled() -> DataFrame:
         own = nodes.where("size > 0").join(root.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-        return durable(own.select("node", F.coalesce("root", "node").alias("label"), "size", "a", "b"), "labelled")
+        return durable(own.select("node", F.coalesce("root", "node").alias("label"), "size", "a", "b", "tip"), "labelled")
 
     key_bits = min(MOST_KEY_BITS, max(LEAST_KEY_BITS, nodes.count().bit_length()))
     for k in range(ROUNDS):
