@@ -1,7 +1,6 @@
 """The label algebra: natures with rank and reverse, and how two of them compose.
 
-Most of the table follows from rules; the rest is stated. Labels compose to nothing where no entry
-is. The closure takes the algebra as tables, so another one can be passed instead.
+The closure takes the algebra as tables, so another one can be passed instead.
 """
 
 from __future__ import annotations
@@ -9,48 +8,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # Symbols by rising rank, the pairs that are each other's reverse, and the composition of
-# the core natures (rows and columns in the order of CORE; X is nothing).
+# every first label (rows) with every second one (columns), both by rank; X is nothing.
 NATURES = ["∩", "≤", "≥", "≈", "≺", "≻", "~", "⊆", "⊇", "∈?", "∋?", "∈", "∋", "↗", "↖", "≡", "←", "→"]
 REVERSES = [("∈", "∋"), ("≺", "≻"), ("⊆", "⊇"), ("≤", "≥"), ("←", "→"), ("↗", "↖"), ("∈?", "∋?")]
-CORE = ["∩", "≤", "≥", "~", "≈", "⊆", "⊇", "∈", "∋", "≺", "≻"]
-CORE_TABLE = """
-∩ ∩ X ∩ X ∩ ∩ ∩ ∩ X X
-X ≤ X X X ≤ ∩ ≤ X ≤ X
-∩ ∩ ≥ ∩ ∩ ∩ ≥ ∩ ≥ ∩ ≥
-∩ ∩ X ~ X ~ ∩ ∩ ∋? ∩ X
-X ∩ X X ≈ ∩ ∩ ∩ X ∩ X
-∩ ≤ ∩ ∩ ∩ ⊆ X ≤ X ≤ X
-∩ ∩ ≥ ~ ∩ ~ ⊇ ∩ ∋ ∩ ≥
-∩ ≤ X ∈? X ∈ X ∈ X ≤ X
-∩ ∩ ≥ ∩ ∩ ∩ ≥ ~ ∋ ∩ ≥
-X ≤ X X X ≤ X ≤ X ≺ X
-X ∩ ≥ ∩ ∩ ∩ ≥ ∩ ≥ ≈ ≻
+COMPOSITION = """
+∩ ∩ X X X X ∩ ∩ ∩ X X ∩ ∩ X X ∩ ∩ ∩
+X ≤ X X ≤ X X ≤ ∩ X X ≤ X X X ≤ ≤ ≤
+∩ ∩ ≥ ∩ ∩ ≥ ∩ ∩ ≥ X X ∩ ≥ X X ≥ ≥ ≥
+X ∩ X ≈ ∩ X X ∩ ∩ X X ∩ X X X ≈ ≈ ≈
+X ≤ X X ≺ X X ≤ X X X ≤ X X X ≺ ≺ ≺
+X ∩ ≥ ∩ ≈ ≻ ∩ ∩ ≥ X X ∩ ≥ X X ≻ X ≻
+∩ ∩ X X ∩ X ~ ~ ∩ X X ∩ ∋? X X ~ ~ ~
+∩ ≤ ∩ ∩ ≤ X ∩ ⊆ X X X ≤ X X X ⊆ ⊆ ⊆
+∩ ∩ ≥ ∩ ∩ ≥ ~ ~ ⊇ X ∋? ∩ ∋ X X ⊇ ⊇ ⊇
+X X X X X X X ∈? X ∈? X X X X X ∈? ∈? ∈?
+X X X X X X X X X X ∋? X ∋? X X ∋? ∋? ∋?
+∩ ≤ X X ≤ X ∈? ∈ X ∈? X ∈ X X X ∈ ∈ ∈
+∩ ∩ ≥ ∩ ∩ ≥ ∩ ∩ ≥ X X ~ ∋ X X ∋ ∋ ∋
+X X X X X X X X X X X X X ↗ X ↗ X ↗
+X X X X X X X X X X X X X X ↖ ↖ X ↖
+∩ ≤ ≥ ≈ ≺ ≻ ~ ⊆ ⊇ ∈? ∋? ∈ ∋ ↗ ↖ ≡ ← →
+∩ ≤ ≥ ≈ ≺ ≻ ~ ⊆ ⊇ ∈? ∋? ∈ ∋ ↗ ↖ ← ← ≡
+∩ ≤ ≥ ≈ X ≻ ~ ⊆ ⊇ ∈? ∋? ∈ ∋ X X → X →
 """
-#: Entries outside the core and the rules for ≡, ← and →.
-OTHERS = {("↗", "↗"): "↗", ("↖", "↖"): "↖", ("∈?", "⊆"): "∈?", ("∈?", "∈?"): "∈?", ("∋?", "∋"): "∋?", ("∋?", "∋?"): "∋?", ("⊇", "∋?"): "∋?", ("∈", "∈?"): "∈?"}
 
 RANK = {s: i for i, s in enumerate(NATURES, 1)}
 REVERSE = {s: s for s in NATURES} | dict(REVERSES) | {b: a for a, b in REVERSES}
 
 
+_ROWS = [line.split() for line in COMPOSITION.split("\n")[1:-1]]
+
+
 def combine(r: str, s: str) -> str | None:
     """The label of a -> c from a -r-> b -s-> c, or None."""
-    if s == "≡":
-        return r  # identity changes nothing
-    if r == "≡":
-        return s
-    if r == "←":
-        return "≡" if s == "→" else s
-    if s == "→":
-        return r
-    if s == "←":
-        return None if r in ("→", "≻", "↗", "↖") else r
-    if r == "→":
-        return None if s in ("≺", "↗", "↖") else s
-    if r in CORE and s in CORE:
-        found = CORE_TABLE.split("\n")[1 + CORE.index(r)].split()[CORE.index(s)]
-        return None if found == "X" else found
-    return OTHERS.get((r, s))
+    found = _ROWS[RANK[r] - 1][RANK[s] - 1]
+    return None if found == "X" else found
 
 
 def entries() -> list[tuple[int, int, int]]:
