@@ -28,6 +28,8 @@ def test_json_round_trip(spark, rows, tmp_path):
     assert results.write_json(rows.union(spark.createDataFrame([(None, "p", "k", "v", "a")], results.SCHEMA)), str(tmp_path / "r")) == 1
     got = results.read_json(spark, [str(tmp_path / "r")])
     assert keys(got.rows) == KEPT and got.skipped == 0
+    files = [f.read_text().splitlines() for f in (tmp_path / "r").glob("part-*")]
+    assert all(lines[0] == '{"format": "verdigraph-results", "version": 1}' for lines in files if lines) and any(files)
     assert keys(results.read_json(spark, [str(tmp_path / "r")], keys=["immutable"]).rows) == KEPT[1:]
     with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
         for f in (tmp_path / "r").glob("part-*"):
@@ -82,5 +84,19 @@ def test_streamed_edits_equal_one_batch(spark, tmp_path):
     engine = Engine(prior, depends, recompute, [lambda n, df: heard.append(sorted(r.node for r in df.collect()))])
     engine.start(spark.readStream.schema("node long, fp string").parquet(str(tmp_path / "edits")), str(tmp_path / "cp")).awaitTermination(120)
     assert heard == [[1, 2, 3]]
-    assert {r.node: r.fp for r in engine.state.collect()} == {1: "e", 2: "new2", 3: "new3", 4: "old", 5: "old"}
+    assert {r.node: r.fp for r in engine.state().collect()} == {1: "e", 2: "new2", 3: "new3", 4: "old", 5: "old"}
     assert Engine(prior, depends, recompute).apply(edits).count() == 3
+
+
+def test_the_last_edit_counts_and_a_restart_goes_on(spark, tmp_path):
+    depends = spark.createDataFrame([(2, 1)], "user long, used long")
+    prior = spark.createDataFrame([(1, 0), (2, 0)], "node long, fp long")
+    recompute = lambda df: df.select("node", (F.col("node") * 100).alias("fp"))
+    edits = spark.createDataFrame([(1, 9, 1), (1, 7, 2)], "node long, fp long, seq long")
+    make = lambda: Engine(prior, depends, recompute, folder=str(tmp_path / "states"))
+    assert {tuple(r) for r in make().apply(edits, 0).collect()} == {(1, 7), (2, 200)}
+    again = make()
+    assert {tuple(r) for r in again.state().collect()} == {(1, 7), (2, 200)}
+    assert again.apply(edits, 0).count() == 2  # a replay starts from the state before its batch
+    assert again.apply(spark.createDataFrame([(1, 7, 3)], edits.schema), 1).count() == 0
+    assert {tuple(r) for r in make().state().collect()} == {(1, 7), (2, 200)}

@@ -7,9 +7,12 @@ both packages and property keys at the source.
 
 from __future__ import annotations
 
+import json
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +47,15 @@ def write_json(rows: DataFrame, path: str) -> int:
     good = sparse(rows.where("elem_id is not null and key is not null"))
     lines = good.select(F.to_json(F.struct("elem_id", "package", "key", "value", "origin")).alias("value"), "package", "elem_id", "key")
     ordered = lines.repartitionByRange("package", "elem_id").sortWithinPartitions("package", "elem_id", "key").select("value")
-    marker = rows.sparkSession.range(1).select(F.to_json(F.struct(F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"))).alias("value"))
-    ordered.write.text(path)
-    marker.coalesce(1).write.mode("append").text(path)
+    mark = json.dumps({"format": FORMAT, "version": VERSION})
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, b in enumerate(batches):
+            if not n:
+                yield pa.RecordBatch.from_arrays([pa.array([mark])], names=["value"])
+            yield b
+
+    ordered.mapInArrow(marked, "value string").write.option("maxRecordsPerFile", 0).text(path)
     return bad
 
 
