@@ -34,11 +34,13 @@ def session(app: str = "verdigraph", master: str = "local[8]", shuffle_partition
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where none is set (tests) one is made here."""
+    """The folder all executors share. One is made here only where none is set and all run in this machine."""
     global _fallback
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _fallback is None:
         _fallback = "file://" + tempfile.mkdtemp(prefix="verdigraph-")
     return _fallback
