@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigraph.functions import algebra, scalars
-from verdigraph.operators import components, fixpoint, lattice, links
+from verdigraph.operators import components, fixpoint, lattice, links, verdict_rules
 
 
 def edges(spark, pairs):
@@ -121,11 +121,47 @@ def test_null_outcomes(spark):
     assert {got[("UNSPECIFIED", s)] for s in states} == {"UNSCORED"} and got[("NONNULL", "UNSPECIFIED")] == "UNDECIDED"
 
 
-def test_gates_open_one_after_the_other(spark):
+def test_a_gate_opens_by_its_own_argument_only(spark):
+    """Callee 2 returns null by itself; callee 3 hands its first parameter on."""
     empty = nodes(spark, [])
-    gates = spark.createDataFrame([(2, 5), (6, 8), (9, 10)], "arg long, result long")
-    got = fixpoint.gated_null_reach(edges(spark, [(1, 2), (5, 6)]), nodes(spark, [1]), empty, gates)
-    assert {x.node for x in got.collect()} == {1, 2, 5, 6, 8}
+    calls = spark.createDataFrame([(10, 2, 20), (11, 3, 21), (12, 3, 22), (13, 3, 23)], "site long, callee long, result long")
+    args = spark.createDataFrame([(11, 1, 1), (12, 1, 7), (13, 2, 1)], "site long, pos int, node long")
+    through = spark.createDataFrame([(3, 1)], "callee long, pos int")
+    got = lambda contracts: {x.node for x in fixpoint.gated_null_reach(edges(spark, [(1, 2), (21, 30)]), nodes(spark, [1]), contracts, calls, args, through).collect()}
+    assert got(empty) == {1, 2, 20, 21, 30}
+    assert got(nodes(spark, [21])) == {1, 2, 20}
+
+
+def test_both_ways_to_reach_agree(spark, monkeypatch):
+    r = random.Random(3)
+    e = [(r.randrange(60), r.randrange(60)) for _ in range(90)]
+    few = {x.node: x.level for x in fixpoint.reach(edges(spark, e), nodes(spark, [0, 1])).collect()}
+    monkeypatch.setattr(fixpoint, "SMALL_EDGES", 0)
+    assert {x.node: x.level for x in fixpoint.reach(edges(spark, e), nodes(spark, [0, 1])).collect()} == few
+    with pytest.raises(fixpoint.NotConverged):
+        fixpoint.reach(edges(spark, [(1, 2), (2, 3), (3, 4)]), nodes(spark, [1]), max_rounds=2)
+
+
+def test_flow_of_statements(spark):
+    r = random.Random(5)
+    rows = [(i, i // 3 if i else None, r.choice(["plain", "plain", "return", "break"]), r.random() < 0.4, r.random() < 0.5) for i in range(1, 80)] + [(0, None, "plain", False, False)]
+    rows = [(s, p if s else None, leaf, loop, inf) for s, p, leaf, loop, inf in rows]
+    below = {s: sorted(t for t, p, *_ in rows if p == s) for s, *_ in rows}
+    known = {s: (leaf, loop, inf) for s, _, leaf, loop, inf in rows}
+
+    def flow(s):
+        leaf, loop, infinite = known[s]
+        if not below[s]:
+            return leaf == "plain", leaf == "break"
+        falls, breaks = True, False
+        for c in below[s]:
+            f, b = flow(c)
+            if falls:
+                breaks, falls = breaks or b, f
+        return (not infinite or breaks, False) if loop else (falls, breaks)
+
+    got = verdict_rules.flow(spark.createDataFrame(rows, "s long, parent long, leaf string, is_loop boolean, infinite boolean"))
+    assert {x.s: (x.falls_through, x.breaks_out) for x in got.collect()} == {s: flow(s) for s in known}
 
 
 def test_scalars(spark):

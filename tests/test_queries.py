@@ -21,10 +21,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert QUERIES.keys() == ORACLES.keys()
+    """All but an ordered fold, which tests/test_operators.py holds against a recursive version."""
+    assert QUERIES.keys() == ORACLES.keys() | {"always_escapes"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     want = con.sql(ORACLES[name])

@@ -6,6 +6,9 @@ any ANSI engine read alike, so queries and their oracles start from the same fac
 
 from __future__ import annotations
 
+import re
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Schemas of the fact tables, as DDL; nothing is ever inferred from data. NULL means undecided.
@@ -21,6 +24,7 @@ SCHEMAS = {
 _N = "(SELECT count(*) FROM part)"
 _T = "(SELECT count(*) FROM supplier)"
 _F = "(SELECT count(*) FROM customer)"
+_VAR = "(l_partkey % (SELECT 1 + count(*) // 8 FROM part)) * 8"
 
 VIEWS = {
     # Methods belong to types; verdicts are three-valued.
@@ -39,29 +43,54 @@ VIEWS = {
     "call_site": f"SELECT DISTINCT l_orderkey AS site, l_orderkey % {_N} AS caller, l_partkey AS callee FROM lineitem WHERE l_quantity = 7",
     "call_arg": "SELECT DISTINCT l_orderkey AS site, l_linenumber AS pos, l_suppkey AS var FROM lineitem WHERE l_quantity = 7",
     "summary_link": "SELECT DISTINCT l_partkey AS m, l_linenumber AS from_pos, 1 + l_suppkey % 18 AS nature, (l_linenumber + l_suppkey) % 7 + 1 AS to_pos FROM lineitem WHERE l_quantity = 8",
-    "base_link": "SELECT DISTINCT l_partkey % 60 AS src, 1 + l_suppkey % 18 AS nature, l_orderkey % 60 AS dst FROM lineitem WHERE l_quantity = 9 AND l_discount = 0.05 AND l_partkey % 60 <> l_orderkey % 60 AND l_orderkey % 60 < 25 AND l_partkey % 60 < 25",
+    # Local variables of a method are its number times 8 and their place in it, so links stay in methods.
+    "base_link": f"SELECT DISTINCT {_VAR} + l_linenumber AS src, 1 + l_suppkey % 18 AS nature, {_VAR} + 1 + l_orderkey % 7 AS dst FROM lineitem WHERE l_quantity = 9 AND l_linenumber <> 1 + l_orderkey % 7",
+    "assign_fact": f"SELECT DISTINCT l_orderkey AS stmt, {_VAR} + l_linenumber AS var, l_returnflag <> 'R' AS non_null FROM lineitem WHERE l_quantity BETWEEN 9 AND 10",
+    "receiver_call": "SELECT o_orderkey AS site, CASE WHEN o_orderstatus <> 'P' AND o_orderkey > 0 THEN o_orderkey // 3 END AS receiver, o_custkey AS var FROM orders",
+    # What an extractor says of variables, null sources, library members, lambdas and statements.
+    "variable": f"SELECT DISTINCT {_VAR} + l_linenumber AS var, {_VAR} // 8 AS m, CASE l_linenumber WHEN 1 THEN 'return' WHEN 2 THEN 'param' WHEN 3 THEN 'param' WHEN 4 THEN 'field' WHEN 5 THEN 'local' WHEN 6 THEN 'virtual' ELSE 'virtual_mod' END AS kind FROM lineitem",
+    "constant": f"SELECT {_VAR} + l_linenumber AS var, min(l_suppkey) AS value FROM lineitem WHERE l_quantity = 10 GROUP BY 1 HAVING count(*) = 1",
+    "cast_site": f"SELECT DISTINCT {_VAR} + l_linenumber AS a, {_VAR} + 1 + l_orderkey % 7 AS b FROM lineitem WHERE l_quantity BETWEEN 9 AND 12 AND l_returnflag = 'R'",
+    "modified_var": f"SELECT DISTINCT {_VAR} + l_linenumber AS var FROM lineitem WHERE l_quantity = 13 AND l_returnflag = 'A'",
+    "lambda_binding": f"SELECT l_orderkey AS site, l_linenumber AS pos, min(l_partkey) AS fn FROM lineitem WHERE l_quantity = 7 AND l_returnflag <> 'N' GROUP BY 1, 2",
+    "dims": f"SELECT DISTINCT l_partkey AS m, l_linenumber AS pos, l_suppkey % 3 AS arrays, l_orderkey % 3 AS arrays_source, l_linestatus = 'F' AS reverse FROM lineitem WHERE l_quantity = 14",
+    "type_arg": "SELECT DISTINCT s_suppkey AS t, s_suppkey // 2 AS arg, s_nationkey % 2 = 0 AS invariant FROM supplier WHERE s_suppkey > 0",
+    "null_source": f"SELECT DISTINCT o_orderkey % {_N} AS node, CASE o_orderpriority WHEN '1-URGENT' THEN 'literal' WHEN '2-HIGH' THEN 'default value' WHEN '3-MEDIUM' THEN 'null test' WHEN '4-NOT SPECIFIED' THEN 'library' ELSE 'argument' END AS source, o_orderstatus = 'P' AS in_test FROM orders WHERE o_totalprice < 30000",
+    "library": "SELECT p_partkey AS m, CASE p_size % 4 WHEN 0 THEN 'nullable' WHEN 1 THEN 'view of argument' WHEN 2 THEN 'stream' ELSE 'non-null' END AS returns, p_size < 4 AS is_value_of FROM part WHERE p_size < 20",
+    "precondition": f"SELECT DISTINCT l_partkey AS m, l_linenumber AS pos FROM lineitem WHERE l_quantity = 15",
+    "array_init": f"SELECT {_VAR} + l_linenumber AS var, max(l_suppkey % 9) AS size, count(DISTINCT l_orderkey % 9) AS filled FROM lineitem WHERE l_quantity = 16 GROUP BY 1",
+    "statement": "SELECT o_orderkey AS s, CASE WHEN o_orderkey > 0 THEN o_orderkey // 3 END AS parent, CASE WHEN o_orderstatus = 'O' THEN 'return' WHEN o_orderstatus = 'P' THEN 'break' ELSE 'plain' END AS leaf, o_orderpriority <= '2-HIGH' AS is_loop, o_orderpriority = '1-URGENT' AS infinite FROM orders",
+    "ignored": "SELECT c_custkey AS f FROM customer WHERE c_mktsegment = 'MACHINERY'",
+    "production": "SELECT p_partkey AS m FROM part WHERE p_size % 9 <> 0",
+    "stmt": "SELECT DISTINCT l_linenumber || '.' || (l_suppkey % 4) || '.' || (CAST(l_quantity AS INT) % 3) AS idx, CAST(l_linenumber AS VARCHAR(9)) AS scope FROM lineitem",
     "slice": "SELECT DISTINCT l_partkey AS container, l_linenumber AS slice, l_suppkey % 40 AS target FROM lineitem WHERE l_linenumber <= 3",
     "contract": "SELECT p_partkey AS m, p_size % 4 AS strength FROM part WHERE p_size % 6 < 2",
     "edit": "SELECT event_id % (SELECT count(*) FROM part) AS m, event_type AS kind, user_id AS who, event_id AS seq FROM events",
 }
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temporary views of the star-schema tables of ``sf_dir``."""
-    for name in ("supplier", "part", "customer", "orders", "lineitem", "events"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+TABLES = ("supplier", "part", "customer", "orders", "lineitem", "events")
+
+
+def register(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Names of temporary views of the star-schema tables of ``sf_dir``; they are made once a session."""
+    tag = f"{zlib.crc32(sf_dir.encode()):08x}"
+    names = {name: f"verdigraph_{tag}_{name}" for name in TABLES}
+    for name, view in names.items():
+        if not spark.catalog.tableExists(view):
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
+    return names
 
 
 def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The fact ``name`` over the tables of ``sf_dir``."""
-    register(spark, sf_dir)
-    return spark.sql(VIEWS[name].replace("//", "DIV"))
+    names = register(spark, sf_dir)
+    sql = re.sub(rf"\b({'|'.join(TABLES)})\b", lambda m: names[m[0]], VIEWS[name])
+    return spark.sql(sql.replace("//", "DIV"))
 
 
 def oracle(sql: str) -> str:
     """``sql`` with each fact view it names as a common table expression before it."""
-    import re
-
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in used)
     body = sql.strip()

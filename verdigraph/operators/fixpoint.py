@@ -7,12 +7,19 @@ Results are least fixpoints over sets, so they do not depend on evaluation order
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigraph.runtime import durable
 
 MAX_ROUNDS = 1_000
+#: Edges up to which one task walks a graph: 16 bytes each, 64 MB in all, whatever they are taken from.
+SMALL_EDGES = 4_000_000
 
 
 class NotConverged(RuntimeError):
@@ -27,20 +34,75 @@ def _all(deltas: list[DataFrame]) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, absorbing: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, level): nodes reachable from ``seeds`` (node) over ``edges`` (src, dst), fewest steps.
 
-    ``absorbing`` (node) are reached but not left. Nulls in edges and seeds are ignored.
+    ``absorbing`` (node) are reached but not left. Nulls in edges and seeds are ignored; repeated rows
+    count once; without seeds there are no rows. A graph that was counted to have SMALL_EDGES edges at
+    most (and as many seeds) is walked by one task in one job; a larger one level by level, where a
+    level's cost is its own nodes' edges and the known nodes' files, which are merged geometrically.
     """
     steps = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     if absorbing is not None:
         steps = steps.join(absorbing.select(F.col("node").alias("src")).distinct(), "src", "left_anti")
     steps = durable(steps, "edges")
-    deltas = [durable(seeds.select("node").where("node is not null").distinct().withColumn("level", F.lit(0)), "reach")]
-    while not deltas[-1].isEmpty():
-        if len(deltas) > max_rounds:
+    first = durable(seeds.select("node").where("node is not null").distinct().withColumn("level", F.lit(0)), "reach")
+    kind = {*(dict(x.dtypes)[c] for x, c in ((steps, "src"), (steps, "dst"), (first, "node")))}
+    if kind <= {"bigint", "int"} and steps.count() <= SMALL_EDGES and first.count() <= SMALL_EDGES:
+        return _walked(steps, first, max_rounds)
+    found, sizes = [first], [first.count()]
+    delta, level = first, 0
+    while sizes[-1] and delta.count():
+        level += 1
+        if level > max_rounds:
             raise NotConverged(f"reachability is not complete after {max_rounds} rounds")
-        met = deltas[-1].join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        fresh = met.join(_all(deltas).select("node"), "node", "left_anti").withColumn("level", F.lit(len(deltas)))
-        deltas.append(durable(fresh, "reach"))
-    return _all(deltas)
+        met = delta.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        delta = durable(met.join(_all(found).select("node"), "node", "left_anti").withColumn("level", F.lit(level)), "reach")
+        if not (n := delta.count()):
+            break
+        found.append(delta)
+        sizes.append(n)
+        while len(found) > 1 and sizes[-2] < 2 * sizes[-1]:
+            n = sizes.pop() + sizes.pop()
+            found = [*found[:-2], durable(_all(found[-2:]), "reach")]
+            sizes.append(n)
+    return _all(found)
+
+
+def _walked(steps: DataFrame, first: DataFrame, max_rounds: int) -> DataFrame:
+    """``reach`` over a graph of counted, small size: breadth-first over sorted edges, in one task."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(np.asarray(b.column("src")), b.column("dst")) for b in batches]
+        src = np.concatenate([np.zeros(0, "i8"), *(s for s, _ in ends)])
+        seed = np.concatenate([np.zeros(0, bool), *(np.asarray(d.is_null()) for _, d in ends)])
+        dst = np.concatenate([np.zeros(0, "i8"), *(np.asarray(d.fill_null(0)) for _, d in ends)])
+        names, place = np.unique(np.concatenate([src, dst[~seed]]), return_inverse=True)
+        a, b = place[: len(src)], np.zeros(len(src), "i8")
+        b[~seed] = place[len(src) :]
+        frontier = np.unique(a[seed])
+        order = np.argsort(a[~seed], kind="stable")
+        a, b = a[~seed][order], b[~seed][order]
+        start = np.searchsorted(a, np.arange(len(names) + 1))
+        level = np.full(len(names), -1, "i4")
+        at = 0
+        while len(frontier):
+            if at > max_rounds:
+                raise NotConverged(f"reachability is not complete after {max_rounds} rounds")
+            level[frontier] = at
+            at += 1
+            n = start[frontier + 1] - start[frontier]
+            edge = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[frontier], n)
+            met = np.unique(b[edge])
+            frontier = met[level[met] < 0]
+        got = level >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(names[got]), pa.array(level[got])], names=["node", "level"])
+
+    both = steps.select(F.col("src").cast("long"), F.col("dst").cast("long")).unionByName(first.select(F.col("node").cast("long").alias("src"), F.lit(None).cast("long").alias("dst")))
+    try:
+        out = durable(both.coalesce(1).mapInArrow(walk, "node long, level int"), "reach")
+    except PythonException as e:
+        if "NotConverged" in str(e):
+            raise NotConverged(f"reachability is not complete after {max_rounds} rounds") from e
+        raise
+    return out.select(F.col("node").cast(dict(first.dtypes)["node"]).alias("node"), "level")
 
 
 def causes(edges: DataFrame, reached: DataFrame) -> DataFrame:
@@ -165,21 +227,18 @@ def null_reach(edges: DataFrame, seeds: DataFrame, contracts: DataFrame) -> Data
     return reach(open_, seeds.join(contracts.select("node").distinct(), "node", "left_anti"))
 
 
-def gated_null_reach(edges: DataFrame, seeds: DataFrame, contracts: DataFrame, gates: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Null flow with gates (arg, result): a result opens once its arg is reached, as by an edge.
+def gated_null_reach(edges: DataFrame, seeds: DataFrame, contracts: DataFrame, calls: DataFrame, args: DataFrame, through: DataFrame) -> DataFrame:
+    """(node, level): null flow in which calls are gates.
 
-    Gates open only when nothing else moves, and the flow restarts from what they open.
+    ``calls`` (site, callee, result): the result may be null if the callee returns null by itself, that
+    is without any of its parameters, or if a parameter of it that flows to its return (``through``:
+    callee, pos) has an argument (``args``: site, pos, node) at this very call that may be null. So a
+    callee that only hands its argument on opens the results of those calls alone that pass null.
     """
-    opened = seeds.select("node").distinct()
-    count = -1
-    for _ in range(max_rounds):
-        reached = null_reach(edges, opened, contracts).select("node")
-        more = durable(opened.unionByName(gates.join(reached, F.col("arg") == F.col("node"), "left_semi").select(F.col("result").alias("node"))).distinct(), "gates")
-        now = more.count()
-        if now == count:
-            return reached
-        opened, count = more, now
-    raise NotConverged(f"gates still open after {max_rounds} rounds")
+    by_itself = null_reach(edges, seeds, contracts).select(F.col("node").alias("callee"))
+    opened = calls.join(by_itself, "callee", "left_semi").select(F.col("result").alias("node"))
+    at_call = args.join(calls, "site").join(through, ["callee", "pos"], "left_semi").select(F.col("node").cast("long").alias("src"), F.col("result").alias("dst"))
+    return null_reach(edges.select("src", "dst").unionByName(at_call), seeds.select("node").unionByName(opened), contracts)
 
 
 def top(df: DataFrame, k: int, *order) -> DataFrame:

@@ -86,3 +86,32 @@ def ancestors(variables: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
 def choose(candidates: DataFrame, key: list[str], *order) -> DataFrame:
     """One candidate a key: the first by a total order."""
     return candidates.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_place = 1").drop("_place")
+
+
+def remove_vertices(links: DataFrame, gone: DataFrame, algebra: DataFrame) -> DataFrame:
+    """Links (src, nature, dst) without the vertices ``gone`` (var), whose own links are composed first.
+
+    One step through a vertex that goes; nulls in links compose with nothing, repeated links count once.
+    """
+    into = links.join(gone.select(F.col("var").alias("dst")), "dst", "left_semi")
+    made = compose(into, links, algebra)
+    every = links.select("src", F.col("nature").cast("int").alias("nature"), "dst").unionByName(made.select("src", F.col("nature").cast("int").alias("nature"), "dst")).distinct()
+    return every.join(gone.select(F.col("var").alias("src")), "src", "left_anti").join(gone.select(F.col("var").alias("dst")), "dst", "left_anti").select("src", "nature", "dst")
+
+
+def nearest_above(elements: DataFrame, overrides: DataFrame, values: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(m, value): the value (anc, value) of the nearest element at or above each m over (sub, sup).
+
+    Of equally near values the smallest counts; an element with a value looks no further; elements
+    without any are left out.
+    """
+    open_ = durable(elements.select("m", F.col("m").alias("anc")).distinct(), "open")
+    found: list[DataFrame] = []
+    for _ in range(max_rounds):
+        if open_.isEmpty():
+            return _all(found) if found else elements.select("m").limit(0).withColumn("value", F.lit(None).cast(values.schema["value"].dataType))
+        hit = durable(open_.join(values, "anc").groupBy("m").agg(F.min("value").alias("value")), "nearest")
+        found.append(hit)
+        further = open_.join(hit, "m", "left_anti").join(overrides, F.col("anc") == F.col("sub")).select("m", F.col("sup").alias("anc")).distinct()
+        open_ = durable(further, "open")
+    raise NotConverged(f"overrides are not at their end after {max_rounds} rounds")

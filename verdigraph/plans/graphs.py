@@ -61,30 +61,32 @@ def mod_taints(f: Facts) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE w(start, node, depth) AS (SELECT m, m, 0 FROM method WHERE m % 25 = 0 UNION SELECT w.start, e.dst, w.depth + 1 FROM w JOIN call_edge e ON e.src = w.node WHERE w.depth < 3)
-SELECT start, node, min(depth) AS depth FROM w GROUP BY 1, 2
+WITH RECURSIVE w(site, cur, depth) AS (SELECT site, site, 0 FROM receiver_call UNION ALL SELECT w.site, r.receiver, w.depth + 1 FROM w JOIN receiver_call r ON r.site = w.cur JOIN receiver_call t ON t.site = r.receiver)
+SELECT w.site, r.var, w.depth FROM w JOIN receiver_call r ON r.site = w.cur WHERE r.receiver IS NULL OR r.receiver NOT IN (SELECT site FROM receiver_call)
 """)
 def receiver_chain(f: Facts) -> DataFrame:
-    """What a chain of calls can reach in three steps."""
-    at = f.method.where("m % 25 = 0").select(F.col("m").alias("start"), F.col("m").alias("node"), F.lit(0).alias("depth"))
-    out = at
-    for depth in range(1, 4):
-        at = at.join(f.call_edge, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
-        out = out.unionByName(at)
-    return out.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+    """The variable at the end of each call's chain of receivers, and the calls on the way."""
+    calls = f.receiver_call
+    known = calls.select(F.col("site").alias("receiver")).join(calls.where("receiver is not null").select("receiver").distinct(), "receiver")
+    inner = calls.join(known, "receiver", "left_semi")
+    up = links.ancestors(calls.select(F.col("site").alias("var"), F.lit(None).cast("long").alias("parent")).join(inner.select(F.col("site").alias("var"), "receiver"), "var", "left").select("var", F.col("receiver").alias("parent")))
+    last = calls.join(inner.select("site"), "site", "left_anti").select(F.col("site").alias("anc"), F.col("var").alias("end"))
+    return up.join(last, "anc").select(F.col("var").alias("site"), F.col("end").alias("var"), "depth")
 
 
 @query("""
-WITH RECURSIVE p(node, deep) AS (SELECT 1::BIGINT, false UNION SELECT b.dst, p.deep OR b.nature = 12 FROM p JOIN base_link b ON b.src = p.node WHERE b.nature IN (12, 13, 17, 18, 16, 9))
-SELECT node, bool_and(deep) AS deep_only FROM p GROUP BY 1
+WITH RECURSIVE v AS (SELECT src AS var FROM base_link UNION SELECT dst FROM base_link),
+p(var, node, deep) AS (SELECT var, var, false FROM v UNION SELECT p.var, b.dst, p.deep OR b.nature = 12 FROM p JOIN base_link b ON b.src = p.node WHERE b.nature IN (12, 13, 17, 18, 16, 9))
+SELECT var, node, bool_and(deep) AS deep_only FROM p GROUP BY 1, 2
 """)
 def project_variable(f: Facts) -> DataFrame:
-    """Nodes a variable projects to; deep-only if every way there goes through an element."""
-    seed = f.spark.createDataFrame([(1,)], "node long")
-    steps = f.base_link.where("nature in (12, 13, 17, 18, 16, 9)")
-    every = fixpoint.reach(steps, seed).select("node")
-    flat = fixpoint.reach(steps.where("nature <> 12"), seed).select("node", F.lit(False).alias("flat"))
-    return every.join(flat, "node", "left").select("node", F.coalesce("flat", F.lit(True)).alias("deep_only"))
+    """Nodes each variable projects to; deep-only if every way there goes through an element."""
+    base = f.base_link
+    start = base.select(F.col("src").alias("node")).union(base.select("dst")).distinct().select(F.col("node").alias("owner"), "node")
+    steps = base.where("nature in (12, 13, 17, 18, 16, 9)")
+    every = fixpoint.pairs(steps, start)
+    flat = fixpoint.pairs(steps.where("nature <> 12"), start).withColumn("flat", F.lit(False))
+    return every.join(flat, ["owner", "node"], "left").select(F.col("owner").alias("var"), "node", F.coalesce("flat", F.lit(True)).alias("deep_only"))
 
 
 @query("""
@@ -99,11 +101,11 @@ def uncovered_inherited(f: Facts) -> DataFrame:
     return wanted.join(own, ["t", "package"], "left_anti").select("t", "m")
 
 
-@query("SELECT src, nature, dst, count(*) FILTER (dst % 2 = 0) AS guarded FROM base_link GROUP BY 1, 2, 3 HAVING count(*) FILTER (dst % 2 = 0) < count(*)")
+@query("SELECT src, nature, dst FROM base_link WHERE src NOT IN (SELECT var FROM assign_fact GROUP BY 1 HAVING bool_and(non_null))")
 def null_link_edges(f: Facts) -> DataFrame:
     """A link edge is dropped where its source is non-null at every assigning statement."""
-    guard = F.sum((F.col("dst") % 2 == 0).cast("long"))
-    return f.base_link.groupBy("src", "nature", "dst").agg(guard.alias("guarded"), F.count(F.lit(1)).alias("n")).where("guarded < n").select("src", "nature", "dst", "guarded")
+    safe = f.assign_fact.groupBy(F.col("var").alias("src")).agg(lattice.all_or_false(F.col("non_null")).alias("safe")).where("safe")
+    return f.base_link.join(safe, "src", "left_anti")
 
 
 @query("SELECT f FROM field WHERE f IN (SELECT f FROM assignment WHERE m % 4 = 0) AND f NOT IN (SELECT f FROM assignment WHERE m % 4 <> 0)")

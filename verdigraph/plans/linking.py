@@ -41,15 +41,15 @@ def link_best(f: Facts) -> DataFrame:
     return links.best(_closed(f))
 
 
-@query(_CLOSURE + " SELECT a AS src, l AS nature, b AS dst FROM f WHERE a % 5 = 0 AND l >= 8")
+@query(_CLOSURE + " SELECT a AS src, l AS nature, b AS dst FROM f WHERE l >= 8")
 def links_of_primary(f: Facts) -> DataFrame:
-    """The links of chosen primary variables from the closure, filtered by strength."""
-    return _closed(f).where("src % 5 = 0 and nature >= 8")
+    """The links of each primary variable from the closure, filtered by strength."""
+    return _closed(f).where("nature >= 8")
 
 
 @query(_CLOSURE.replace("base_link", "kept").replace(f"{_ALGEBRA},", f"{_ALGEBRA}, kept AS (SELECT * FROM base_link WHERE (src + dst) % 3 <> 0),", 1) + " SELECT a AS src, l AS nature, b AS dst FROM f")
 def link_retraction(f: Facts) -> DataFrame:
-    """The closure after base links were withdrawn."""
+    """The closure after base links were withdrawn."""
     base = f.base_link.withColumn("nature", F.col("nature").cast("int"))
     return fixpoint.retract(base, base.where("(src + dst) % 3 = 0"), algebra.table(f.spark), algebra.natures(f.spark).select("nature", "reverse"))
 
@@ -115,32 +115,32 @@ def pass_set_intersection(f: Facts) -> DataFrame:
     return f.override_edge.join(a, "sub").join(b, "sup").select("sub", "sup", F.array_sort(F.array_intersect("a", "b")).alias("pass"))
 
 
-@query("SELECT src, nature, dst FROM base_link UNION SELECT m % 60, nature, to_pos FROM summary_link WHERE m < 60")
+@query("SELECT src, nature, dst FROM base_link UNION SELECT m * 8 + from_pos, nature, m * 8 + to_pos FROM summary_link")
 def link_union(f: Facts) -> DataFrame:
-    """The union of link sets."""
-    return f.base_link.unionByName(f.summary_link.where("m < 60").select((F.col("m") % 60).alias("src"), "nature", F.col("to_pos").cast("long").alias("dst"))).distinct()
+    """The union of link sets."""
+    summaries = f.summary_link.select((F.col("m") * 8 + F.col("from_pos")).alias("src"), "nature", (F.col("m") * 8 + F.col("to_pos")).alias("dst"))
+    return f.base_link.unionByName(summaries).distinct()
 
 
 @query("SELECT coalesce(a.sup, src) AS src, nature, coalesce(b.sup, dst) AS dst FROM base_link LEFT JOIN (SELECT sub, min(sup) AS sup FROM override_edge GROUP BY 1) a ON a.sub = src LEFT JOIN (SELECT sub, min(sup) AS sup FROM override_edge GROUP BY 1) b ON b.sub = dst")
 def link_translation(f: Facts) -> DataFrame:
-    """Links with their variables renamed."""
+    """Links with their variables renamed."""
     return links.translate(f.base_link, f.override_edge.groupBy(F.col("sub").alias("from_var")).agg(F.min("sup").alias("to_var")))
 
 
-@query("WITH RECURSIVE a(var, anc, depth) AS (SELECT t, t, 0 FROM typ UNION ALL SELECT a.var, typ.parent, depth + 1 FROM a JOIN typ ON typ.t = a.anc WHERE typ.parent IS NOT NULL AND depth < 12) SELECT var, anc, depth FROM a")
+@query("WITH RECURSIVE a(var, anc, depth) AS (SELECT t, t, 0 FROM typ UNION ALL SELECT a.var, typ.parent, depth + 1 FROM a JOIN typ ON typ.t = a.anc WHERE typ.parent IS NOT NULL) SELECT var, anc, depth FROM a")
 def scope_closure(f: Facts) -> DataFrame:
-    """All scopes of each variable with their distance."""
+    """All scopes of each variable with their distance."""
     return links.ancestors(f.typ.select(F.col("t").alias("var"), "parent"))
 
 
 @query("""
-WITH s AS (SELECT DISTINCT l_linenumber || '.' || (l_suppkey % 4) || '.' || (l_quantity::INT % 3) AS idx, l_linenumber::VARCHAR AS scope FROM lineitem WHERE l_partkey < 40)
 SELECT a.idx AS a, b.idx AS b, b.idx = a.scope OR starts_with(b.idx, a.scope || '.') AS in_scope, regexp_replace(a.idx, '(^|\\.)[^.]*$', '') = regexp_replace(b.idx, '(^|\\.)[^.]*$', '') AS same,
-  a.idx < b.idx AND starts_with(b.idx, regexp_replace(a.idx, '(^|\\.)[^.]*$', '') || '.') AS seen FROM s a JOIN s b ON a.scope = b.scope
+  a.idx < b.idx AND starts_with(b.idx, regexp_replace(a.idx, '(^|\\.)[^.]*$', '') || '.') AS seen FROM stmt a JOIN stmt b ON a.scope = b.scope
 """)
 def statement_scopes(f: Facts) -> DataFrame:
     """Scope, level and visibility of statement indices."""
-    s = f.spark.sql("SELECT DISTINCT l_linenumber || '.' || (l_suppkey % 4) || '.' || (cast(l_quantity AS int) % 3) AS a, cast(l_linenumber AS string) AS scope FROM lineitem WHERE l_partkey < 40") if f.call_site else None
+    s = f.stmt.withColumnRenamed("idx", "a")
     t = s.select(F.col("a").alias("b"), F.col("scope").alias("other"))
     a, b = F.col("a"), F.col("b")
     return s.join(t, F.col("scope") == F.col("other")).select("a", "b", scalars.in_scope_of(F.col("scope"), b).alias("in_scope"), scalars.same_level(a, b).alias("same"), scalars.seen_by(a, b).alias("seen"))

@@ -188,18 +188,21 @@ def null_confusion(f: Facts) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE x(a, b) AS (SELECT src, dst FROM call_edge WHERE dst NOT IN (SELECT m FROM contract) UNION SELECT callee, caller FROM call_site WHERE site % 10 = 0),
-r(node) AS (SELECT node FROM seed WHERE node NOT IN (SELECT m FROM contract) UNION SELECT x.b FROM r JOIN x ON x.a = r.node WHERE x.b NOT IN (SELECT m FROM contract)) SELECT node FROM r
+WITH RECURSIVE e(a, b) AS (SELECT src, dst FROM call_edge WHERE dst NOT IN (SELECT m FROM contract)), s(node) AS (SELECT node FROM seed WHERE node NOT IN (SELECT m FROM contract)),
+own(node) AS (SELECT node FROM s UNION SELECT e.b FROM own JOIN e ON e.a = own.node),
+g(a, b) AS (SELECT a, b FROM e UNION SELECT a.var, c.caller FROM call_site c JOIN call_arg a USING (site) JOIN summary_link l ON l.m = c.callee AND l.from_pos = a.pos AND l.to_pos = 1 WHERE c.caller NOT IN (SELECT m FROM contract)),
+r(node) AS (SELECT node FROM s UNION SELECT c.caller FROM call_site c JOIN own ON own.node = c.callee WHERE c.caller NOT IN (SELECT m FROM contract) UNION SELECT g.b FROM r JOIN g ON g.a = r.node)
+SELECT DISTINCT node FROM r
 """)
 def null_reach_gated(f: Facts) -> DataFrame:
-    """R18 with added edges from callee to caller at some call sites; the argument test of J20 is not built."""
-    gates = f.call_site.where("site % 10 = 0").select(F.col("callee").alias("arg"), F.col("caller").alias("result"))
-    return fixpoint.gated_null_reach(f.call_edge, f.seed, f.contract.select(F.col("m").alias("node")), gates)
+    """Null flow in which a call's result opens by the callee alone or by this call's arguments."""
+    through = f.summary_link.where("to_pos = 1").select(F.col("m").alias("callee"), F.col("from_pos").alias("pos"))
+    return fixpoint.gated_null_reach(f.call_edge, f.seed, f.contract.select(F.col("m").alias("node")), f.call_site.select("site", "callee", F.col("caller").alias("result")), f.call_arg.select("site", "pos", F.col("var").alias("node")), through).select("node")
 
 
 @query("SELECT sub AS src, sup AS dst, 'return' AS slot FROM override_edge UNION ALL SELECT sub, sup, 'param' FROM override_edge UNION ALL SELECT sup, sub, 'param' FROM override_edge")
 def override_null_edges(f: Facts) -> DataFrame:
-    """Returns flow up an override, parameters both ways."""
+    """Returns flow up an override, parameters both ways."""
     up = f.override_edge.select(F.col("sub").alias("src"), F.col("sup").alias("dst"))
     down = f.override_edge.select(F.col("sup").alias("src"), F.col("sub").alias("dst"))
     return up.withColumn("slot", F.lit("return")).unionByName(up.withColumn("slot", F.lit("param"))).unionByName(down.withColumn("slot", F.lit("param")))
@@ -218,17 +221,17 @@ def preconditions(f: Facts) -> DataFrame:
     return f.param.groupBy("m").agg(lattice.all_or_false(F.col("unmodified")).alias("precondition"))
 
 
-@query("WITH RECURSIVE d(m) AS (SELECT DISTINCT m FROM edit WHERE kind = 'purchase' AND m % 7 = 0 UNION SELECT o.sub FROM d JOIN override_edge o ON o.sup = d.m) SELECT m AS node FROM d")
+@query("WITH RECURSIVE d(m) AS (SELECT DISTINCT m FROM edit WHERE kind = 'purchase' UNION SELECT o.sub FROM d JOIN override_edge o ON o.sup = d.m) SELECT m AS node FROM d")
 def incremental_dirty(f: Facts) -> DataFrame:
     """What must be recomputed after edits."""
-    seeds = f.edit.where("kind = 'purchase' and m % 7 = 0").select(F.col("m").alias("node"))
+    seeds = f.edit.where("kind = 'purchase'").select(F.col("m").alias("node"))
     return fixpoint.reach(f.override_edge.select(F.col("sup").alias("src"), F.col("sub").alias("dst")), seeds).select("node")
 
 
-@query("WITH RECURSIVE d(m) AS (SELECT DISTINCT m FROM edit WHERE kind = 'purchase' AND m % 7 = 0 UNION SELECT o.sub FROM d JOIN override_edge o ON o.sup = d.m WHERE d.m % 3 = 0) SELECT m AS node, m % 3 = 0 AS changed FROM d")
+@query("WITH RECURSIVE d(m) AS (SELECT DISTINCT m FROM edit WHERE kind = 'purchase' UNION SELECT o.sub FROM d JOIN override_edge o ON o.sup = d.m WHERE d.m % 3 = 0) SELECT m AS node, m % 3 = 0 AS changed FROM d")
 def early_cutoff(f: Facts) -> DataFrame:
     """Recomputation stops where the output's fingerprint is the old one."""
-    seeds = f.edit.where("kind = 'purchase' and m % 7 = 0").select(F.col("m").alias("node"))
+    seeds = f.edit.where("kind = 'purchase'").select(F.col("m").alias("node"))
     prior = f.method.select(F.col("m").alias("node"), F.col("m").alias("fp"))
     made = lambda nodes: nodes.select("node", F.when(F.col("node") % 3 == 0, -F.col("node") - 1).otherwise(F.col("node")).alias("fp"))
     return fixpoint.early_cutoff(seeds, f.override_edge.select(F.col("sub").alias("user"), F.col("sup").alias("used")), prior, made).select("node", "changed")
@@ -261,10 +264,10 @@ def sink_census(f: Facts) -> DataFrame:
     return f.typ.select("t").join(c, "t", "left").select("t", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("SELECT coalesce(a.m, b.m) AS m, CASE WHEN a.m IS NULL THEN 'evidence' WHEN b.m IS NULL THEN 'verdict' WHEN a.non_modifying = (b.n < 3) THEN 'agree' WHEN a.non_modifying IS NULL THEN 'undecided' ELSE 'differ' END AS outcome FROM (SELECT m, non_modifying FROM method WHERE m % 2 = 0) a FULL JOIN (SELECT m, count(*) AS n FROM edit WHERE m % 3 = 0 GROUP BY 1) b ON a.m = b.m")
+@query("SELECT coalesce(a.m, b.m) AS m, CASE WHEN a.m IS NULL THEN 'evidence' WHEN b.m IS NULL THEN 'verdict' WHEN a.non_modifying = (b.n < 3) THEN 'agree' WHEN a.non_modifying IS NULL THEN 'undecided' ELSE 'differ' END AS outcome FROM (SELECT m, non_modifying FROM method) a FULL JOIN (SELECT m, count(*) AS n FROM edit GROUP BY 1) b ON a.m = b.m")
 def evidence_join(f: Facts) -> DataFrame:
     """Verdicts joined with outside evidence."""
-    a = f.method.where("m % 2 = 0").select("m", "non_modifying", F.lit(True).alias("has_a"))
-    b = f.edit.where("m % 3 = 0").groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+    a = f.method.select("m", "non_modifying", F.lit(True).alias("has_a"))
+    b = f.edit.groupBy("m").agg(F.count(F.lit(1)).alias("n"))
     outcome = F.when(F.col("has_a").isNull(), "evidence").when(F.col("n").isNull(), "verdict").when(F.col("non_modifying") == (F.col("n") < 3), "agree").when(F.col("non_modifying").isNull(), "undecided").otherwise("differ")
     return a.join(b, "m", "full_outer").select("m", outcome.alias("outcome"))
