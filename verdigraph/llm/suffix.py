@@ -6,26 +6,28 @@ equal places, so windows are dealt to tasks by their anchor's K-gram, which cuts
 suffixes in independent slices. Three steps:
 
 1. Texts are packed in chunks. A chunk reduces to runs of windows with one anchor; each run sends the
-   hash of its K-gram and of all bytes its windows cover. Runs that are nowhere else are done.
-2. A run whose bytes were seen earlier in full is removed in full. Where a K-gram has runs with
-   different bytes, one run of each kind sends its bytes to the K-gram's slice.
+   hash of its K-gram and of all bytes its windows cover. Runs whose K-gram is nowhere else are done:
+   hashes only say what is unique. Equal runs of one chunk are compared there, byte by byte.
+2. All other runs send their bytes to their K-gram's slice.
 3. A slice takes these in corpus order, batch by batch. Each batch gets a suffix array (cut at LENGTH
    bytes), is scanned against the sorted levels of the family for matches of the full length, and
    joins it as a new level; equal-sized levels merge, so a suffix is re-sorted a logarithmic number of
-   times.
+   times. Only windows that a scan found equal, byte by byte, to earlier ones go.
 
-A K-gram with over SPLIT different runs is cut finer, by the LENGTH - SPREAD + 1 bytes that its
-windows with nearly the same distance to the anchor share; no slice has to take a hot K-gram whole.
-Hashes are 128 bits where they stand for equality.
+No slice takes a hot K-gram whole. Above SPLIT runs, only the first run of each kind (equal hashes)
+goes to the K-gram's slice; the others of a kind meet their first in slices of FOLLOWERS runs. Above
+SPLIT kinds, these firsts are cut finer, by the LENGTH - SPREAD + 1 bytes that windows with nearly the
+same distance to the anchor share.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +40,10 @@ from .common import documents, texts
 LENGTH = 100
 K = 32
 CHUNK_BYTES = 3 << 20
-#: Bytes of text whose runs one task compares, and bytes of differing runs one slice takes.
+#: Bytes of text whose runs one task compares, and bytes of text that there is one slice for.
 RANGE_BYTES = 48 << 20
-SLICE_BYTES = 4 << 20
-SPLIT, SPREAD = 1_000, 8
+SLICE_BYTES = 1 << 20
+SPLIT, FOLLOWERS, SPREAD = 1_000, 16_384, 8
 #: Windows in one batch of a slice.
 BATCH = 100_000
 
@@ -190,33 +192,46 @@ def suffixes_of(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, LENGTH)[at]).view(f"S{LENGTH}").ravel(), each
 
 
-#: What step 1 says about a run: no earlier equal; all of it is; ask with its bytes; ask, finely cut.
-CLEAN, ALL, ASK, ASK_FINE = 0, 1, 2, 3
+#: What step 1 says about a run: nothing equals it; ask with its bytes; ask, finely cut; ask its first.
+CLEAN, ASK, ASK_FINE, FOLLOW = 0, 1, 2, 3
 
 
-def local_first(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-    """(runs that are the first of their kind in the chunk, sorted by key; runs that are not)."""
+def local_first(runs: Runs, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(runs that are the first of their kind in the chunk, sorted by key; runs that equal an earlier one)."""
     order = np.lexsort((np.arange(len(runs.key)), runs.whole, runs.key))
     key, whole = runs.key[order], runs.whole[order]
     same = np.zeros(len(order), bool)
     same[1:] = (key[1:] == key[:-1]) & (whole[1:] == whole[:-1])
-    return order[~same], order[same]
+    first = order[~same][np.cumsum(~same) - 1]
+    content = lambda r: body[runs.first[r] : runs.last[r] + LENGTH]
+    later = [r for r, f in zip(order[same].tolist(), first[same].tolist()) if content(r) == content(f)]
+    return order[~same], np.array(later, "i8")
 
 
-def judge(key: np.ndarray, whole: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Step 1's verdicts for runs given with their place in the corpus."""
+def _each(new: np.ndarray) -> np.ndarray:
+    """For every row the number of rows of its group; ``new`` marks the groups' first rows."""
+    sizes = np.diff(np.flatnonzero(np.concatenate([new, [True]])))
+    return np.repeat(sizes, sizes)
+
+
+def judge(key: np.ndarray, whole: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Step 1's verdicts for runs given with their place in the corpus, and the slices a hot kind takes."""
     order = np.lexsort((place, whole, key))
     k, w = key[order], whole[order]
     new_key = np.ones(len(k), bool)
     new_key[1:] = k[1:] != k[:-1]
     new_kind = new_key.copy()
     new_kind[1:] |= w[1:] != w[:-1]
-    kinds = np.add.reduceat(new_kind, np.flatnonzero(new_key)) if len(k) else np.zeros(0, int)
-    kinds = np.repeat(kinds, np.diff(np.concatenate([np.flatnonzero(new_key), [len(k)]])))
-    verdict = np.where(new_kind, np.where(kinds == 1, CLEAN, np.where(kinds > SPLIT, ASK_FINE, ASK)), ALL)
-    out = np.empty(len(k), "u1")
-    out[order] = verdict
-    return out
+    runs, equal = _each(new_key), _each(new_kind)
+    group = np.cumsum(new_key) - 1
+    kinds = np.bincount(group, new_kind, minlength=1)[group] if len(k) else np.zeros(0)
+    hot = runs > SPLIT
+    leader = np.where(kinds > SPLIT, ASK_FINE, ASK)
+    verdict = np.where(runs == 1, CLEAN, np.where(~hot, ASK, np.where(new_kind, leader, FOLLOW)))
+    pieces = np.where(hot & (equal > 1), -(-equal // FOLLOWERS), 0)
+    out, cut = np.empty(len(k), "u1"), np.empty(len(k), "<u4")
+    out[order], cut[order] = verdict, pieces
+    return out, cut
 
 
 def _place(doc_ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
@@ -224,15 +239,20 @@ def _place(doc_ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
     return np.where(nulls, np.iinfo("i8").min, doc_ids)
 
 
-def repeated(chunks: Chunks) -> DataFrame:
-    """(chunk, first, bits): by chunk, marked starts of windows that also start earlier.
+def _ties(chunk: dict) -> np.ndarray:
+    """A number for the text of each document, to order rows of one id by."""
+    return np.array([xxhash.xxh64_intdigest(b) for b in bodies(chunk)], "<u8")
+
+
+def repeated(chunks: Chunks, tied: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """(chunk, spans): by chunk, starts of windows that also start earlier; tables to delete.
 
-    ``first`` is the offset in the chunk's body of the first window that ``bits`` (one byte each) tells
-    of; a null ``bits`` says that ``spans`` (first, last pairs of window starts) are all repeated.
+    ``spans`` holds the first and the last starts of stretches of such windows. ``tied`` says that ids
+    stand on several rows; these are ordered by a hash of their texts.
     """
     spark = chunks.spark
     ranges = max(width(spark), -(-chunks.n_bytes // RANGE_BYTES))
-    sent = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("wholes", pa.binary()), ("docs", pa.binary()), ("base", pa.int64()), ("offsets", pa.binary())])
+    sent = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("wholes", pa.binary()), ("docs", pa.binary()), ("base", pa.int64()), ("offsets", pa.binary()), ("ties", pa.binary())])
 
     def bounds(keys: np.ndarray) -> np.ndarray:
         top = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype("i8")
@@ -240,20 +260,21 @@ def repeated(chunks: Chunks) -> DataFrame:
 
     def send(chunk: dict) -> Iterator[tuple]:
         runs = Runs(chunk["body"], chunk["lengths"])
-        first, _ = local_first(runs)
+        first, _ = local_first(runs, chunk["body"])
         if not len(first):
             return
+        ties = _ties(chunk)[runs.doc[first]] if tied else None
         ids = _place(np.array([i or 0 for i in chunk["ids"]], "i8"), np.array([i is None for i in chunk["ids"]]))
         keys, docs = runs.key[first], ids[runs.doc[first]]
-        # Rows with one id are told apart by their place in the chunk, then by the chunk's number.
+        # Rows with one id and one text are told apart by the chunk's number and their place in it.
         offsets = runs.first[first]
         cut = bounds(keys)
         for part in np.flatnonzero(np.diff(cut)).tolist():
             a, b = cut[part], cut[part + 1]
             base = int(docs[a:b].min())
-            yield part, chunk["chunk"], int(b - a), squeeze_sorted(keys[a:b]), squeeze(runs.whole[first[a:b]]), squeeze((docs[a:b] - base).astype("<u8")), base, squeeze(offsets[a:b].astype("<u4"))
+            yield part, chunk["chunk"], int(b - a), squeeze_sorted(keys[a:b]), squeeze(runs.whole[first[a:b]]), squeeze((docs[a:b] - base).astype("<u8")), base, squeeze(offsets[a:b].astype("<u4")), squeeze(ties[a:b]) if tied else None
 
-    verdicts = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("verdicts", pa.binary())])
+    verdicts = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("verdicts", pa.binary()), ("pieces", pa.binary())])
 
     def decide(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -263,56 +284,57 @@ def repeated(chunks: Chunks) -> DataFrame:
         offsets = np.concatenate([expand(r["offsets"]) for r in rows])
         sizes = [r["n"] for r in rows]
         chunk = np.repeat([r["chunk"] for r in rows], sizes)
-        order = np.lexsort((offsets, chunk, docs))
+        ties = np.concatenate([expand(r["ties"]) for r in rows]) if tied else np.zeros(len(docs), "<u8")
+        order = np.lexsort((offsets, chunk, ties, docs))
         place = np.empty(len(order), "i8")
         place[order] = np.arange(len(order))
-        found = np.split(judge(keys, wholes, place), np.cumsum(sizes)[:-1])
-        return pa.table([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["part"] for r in rows], pa.int32()), pa.array([squeeze(v) for v in found], pa.binary())], schema=verdicts)
+        found, pieces = (np.split(x, np.cumsum(sizes)[:-1]) for x in judge(keys, wholes, place))
+        return pa.table([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["part"] for r in rows], pa.int32()), pa.array([squeeze(v) for v in found], pa.binary()), pa.array([squeeze(v) for v in pieces], pa.binary())], schema=verdicts)
 
-    blobs = chunks.map(send, "part int, chunk long, n long, keys binary, wholes binary, docs binary, base long, offsets binary", sent)
+    blobs = chunks.map(send, "part int, chunk long, n long, keys binary, wholes binary, docs binary, base long, offsets binary, ties binary", sent)
     bound_batches(spark)
-    told = durable(blobs.repartition(max(width(spark), min(ranges, 10_000)), "part").groupBy("part").applyInArrow(decide, "chunk long, part int, verdicts binary"), "run-verdicts")
+    told = durable(blobs.repartition(max(width(spark), min(ranges, 10_000)), "part").groupBy("part").applyInArrow(decide, "chunk long, part int, verdicts binary, pieces binary"), "run-verdicts")
 
-    asked = pa.schema([("chunk", pa.int64()), ("spans", pa.binary()), ("slice", pa.int64()), ("doc", pa.int64()), ("first", pa.int64()), ("content", pa.binary())])
+    asked = pa.schema([("chunk", pa.int64()), ("spans", pa.binary()), ("slice", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("first", pa.int64()), ("content", pa.binary())])
 
-    def ask(chunk: dict, answers: list[dict]) -> list[tuple]:
-        runs = Runs(chunk["body"], chunk["lengths"])
-        first, later = local_first(runs)
-        out: list[tuple] = []
-        found = np.zeros(0, "u1")
-        if len(first):
-            found = np.concatenate([expand(a["verdicts"]) for a in sorted(answers, key=lambda a: a["part"])])
-        gone = np.concatenate([later, first[found == ALL]])
-        gone.sort()
-        if len(gone):
-            out.append((chunk["chunk"], squeeze(np.stack([runs.first[gone], runs.last[gone]]).astype("<u4").ravel()), None, None, None, None))
+    def ask(chunk: dict, answers: list[dict]) -> Iterator[tuple]:
+        runs, body, number = Runs(chunk["body"], chunk["lengths"]), chunk["body"], chunk["chunk"]
+        first, later = local_first(runs, body)
+        if len(later):
+            yield number, squeeze(np.stack([runs.first[later], runs.last[later]]).astype("<u4").ravel()), number, 0, 0, 0, None
+        if not len(first):
+            return
+        answers = sorted(answers, key=lambda a: a["part"])
+        found, pieces = (np.concatenate([expand(a[c]) for a in answers]) for c in ("verdicts", "pieces"))
         ids = _place(np.array([i or 0 for i in chunk["ids"]], "i8"), np.array([i is None for i in chunk["ids"]]))
-        body = chunk["body"]
-        for fine in (False, True):
-            for r in first[found == (ASK_FINE if fine else ASK)].tolist():
-                a, lo, hi, doc = int(runs.anchor[r]), int(runs.first[r]), int(runs.last[r]), int(ids[runs.doc[r]])
-                if not fine:
-                    out.append((chunk["chunk"], None, int(runs.key[r].astype("i8")), doc, lo, body[lo : hi + LENGTH]))
-                    continue
+        ties = (_ties(chunk) >> np.uint64(1)).astype("i8") if tied else np.zeros(len(ids), "i8")
+        asks = found != CLEAN
+        for r, verdict, n in zip(first[asks].tolist(), found[asks].tolist(), pieces[asks].tolist()):
+            a, lo, hi, of = int(runs.anchor[r]), int(runs.first[r]), int(runs.last[r]), int(runs.doc[r])
+            doc, tie, key = int(ids[of]), int(ties[of]), int(runs.key[r])
+            if verdict == ASK:
+                yield number, None, key - (1 << 63), doc, tie, lo, body[lo : hi + LENGTH]
+            elif verdict == ASK_FINE:
                 for band in range((a - hi) // SPREAD, (a - lo) // SPREAD + 1):
                     s, e = max(lo, a - SPREAD * band - SPREAD + 1), min(hi, a - SPREAD * band)
                     core = body[a - SPREAD * band : a - SPREAD * band - SPREAD + 1 + LENGTH]
-                    mixed = xxhash.xxh64_intdigest(core, band) ^ int(runs.key[r])
-                    out.append((chunk["chunk"], None, mixed - (1 << 63), doc, s, body[s : e + LENGTH]))
-        return out
+                    mixed = xxhash.xxh64_intdigest(core, band) ^ key
+                    yield number, None, mixed - (1 << 63), doc, tie, s, body[s : e + LENGTH]
+            # The first of a hot kind goes wherever others of it do.
+            for piece in [number % n] if verdict == FOLLOW else range(n):
+                mixed = xxhash.xxh64_intdigest(int(runs.whole[r]).to_bytes(8, "little"), piece) ^ key
+                yield number, None, mixed - (1 << 63), doc, tie, lo, body[lo : hi + LENGTH]
 
     bound_batches(spark)
-    wanted = durable(chunks.answer(told, ask, "chunk long, spans binary, slice long, doc long, first long, content binary", asked), "asked")
-    discard(told)
-    open_ = wanted.where("slice is not null").select("chunk", "slice", "doc", "first", "content")
-    n_bytes = open_.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
-    slices = max(width(spark), -(-n_bytes // SLICE_BYTES))
-    known = pa.schema([("chunk", pa.int64()), ("first", pa.int64()), ("bits", pa.binary())])
+    wanted = chunks.answer(told, ask, "chunk long, spans binary, slice long, doc long, tie long, first long, content binary", asked)
+    slices = max(width(spark), -(-chunks.n_bytes // SLICE_BYTES))
+    known = pa.schema([("chunk", pa.int64()), ("spans", pa.binary())])
 
     def search(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc", "ascending"), ("chunk", "ascending"), ("first", "ascending")])
-        family, out = Family(), []
-        contents = group.column("content").to_pylist()
+        compared = group.filter(pa.compute.is_null(group.column("content")))
+        group = group.filter(pa.compute.is_valid(group.column("content"))).sort_by([("doc", "ascending"), ("tie", "ascending"), ("chunk", "ascending"), ("first", "ascending")])
+        family, found = Family(), [np.zeros((2, 0), "i8")]
+        contents, chunk, first = group.column("content").to_pylist(), np.asarray(group.column("chunk")), np.asarray(group.column("first"))
         at = 0
         while at < len(contents):
             stop, held = at, 0
@@ -321,40 +343,48 @@ def repeated(chunks: Chunks) -> DataFrame:
                 stop += 1
             suffixes, each = suffixes_of(contents[at:stop])
             marks = family.add(suffixes)
-            out += [m.astype("u1").tobytes() for m in np.split(marks, np.cumsum(each)[:-1])]
+            start = np.arange(len(marks)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[at:stop], each)
+            found.append(np.stack([np.repeat(chunk[at:stop], each)[marks], start[marks]]))
             at = stop
-        return pa.table([group.column("chunk"), group.column("first"), pa.array(out, pa.binary())], schema=known)
+        rows = stretches(np.concatenate(found, axis=1)) + list(zip(*(compared.column(c).to_pylist() for c in ("chunk", "spans"))))
+        return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[], []], known)], schema=known)
+
+    sliced = wanted.withColumn("part", F.pmod(F.xxhash64("slice"), F.lit(slices)))
+    found = sliced.repartition(min(slices, 10_000), "part").groupBy("part").applyInArrow(search, "chunk long, spans binary")
+    return found, [told]
+
 
-    sliced = open_.withColumn("part", F.pmod(F.xxhash64("slice"), F.lit(slices)))
-    bits = sliced.repartition(min(slices, 10_000), "part").groupBy("part").applyInArrow(search, "chunk long, first long, bits binary")
-    spans = wanted.where("slice is null").select("chunk", F.lit(None).cast("long").alias("first"), F.lit(None).cast("binary").alias("bits"), "spans")
-    return bits.withColumn("spans", F.lit(None).cast("binary")).unionByName(spans)
+def stretches(found: np.ndarray) -> list[tuple[int, bytes]]:
+    """(chunk, spans) from the chunks (row 0) and starts (row 1) of repeated windows."""
+    chunk, start = found[:, np.lexsort((found[1], found[0]))]
+    new = np.ones(len(chunk), bool)
+    new[1:] = (chunk[1:] != chunk[:-1]) | (start[1:] > start[:-1] + 1)
+    at = np.flatnonzero(new)
+    first, last, of = start[at], start[np.concatenate([at[1:], [len(start)]]) - 1] if len(at) else start, chunk[at]
+    cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+    return [(int(of[a]), squeeze(np.stack([first[a:b], last[a:b]]).astype("<u4").ravel())) for a, b in zip(cut.tolist(), [*cut.tolist()[1:], len(of)])]
 
 
 def covered(n: int, marks: list[dict]) -> np.ndarray:
     """Which of a body's ``n`` bytes repeated windows cover, from a chunk's marks."""
     change = np.zeros(n + LENGTH + 1, "i4")
     for m in marks:
-        if m["bits"] is None:
-            first, last = expand(m["spans"]).astype("i8").reshape(2, -1)
-            np.add.at(change, first, 1)
-            np.add.at(change, last + LENGTH, -1)
-        else:
-            at = m["first"] + np.flatnonzero(np.frombuffer(m["bits"], "u1"))
-            change[at] += 1
-            change[at + LENGTH] -= 1
+        first, last = expand(m["spans"]).astype("i8").reshape(2, -1)
+        np.add.at(change, first, 1)
+        np.add.at(change, last + LENGTH, -1)
     return np.cumsum(change[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every whole text, as UTF-8 bytes.
+REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
-    Reads ``doc_id`` and ``text``. Null and empty texts keep nothing of nothing. Rows with a null id
-    come before all others; rows with equal ids are ordered by chunk, then by text. Strings are judged
-    on the input, not on what is left of it.
-    """
-    chunks = Chunks(texts(docs).withColumn("side", F.lit(0)), CHUNK_BYTES)
-    marks = repeated(chunks)
+
+def _removed(docs: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """REMOVED rows, not yet computed, and what deletes the tables that they are computed from."""
+    rows = texts(docs)
+    # One row a repeated id is enough to know that there are ties.
+    tied = bool(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1))
+    chunks = Chunks(rows.withColumn("side", F.lit(0)), CHUNK_BYTES)
+    marks, written = repeated(chunks, tied)
     arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def cut(chunk: dict, marks: list[dict]) -> list[tuple]:
@@ -367,8 +397,30 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out.append((doc, len(body), int(own.sum()), starts, kept))
         return out
 
-    return chunks.answer(marks, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", arrow)
+    def delete() -> None:
+        for df in written:
+            discard(df)
+        chunks.drop()
+
+    return chunks.answer(marks, cut, REMOVED, arrow), delete
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary) of every whole text, as UTF-8 bytes.
+
+    Reads ``doc_id`` and ``text``. Null and empty texts keep nothing of nothing. Rows with a null id
+    come before all others; rows with equal ids are ordered by a hash of their texts, so results do not
+    depend on how the input is dealt. Strings are judged on the input, not on what is left of it. The
+    result is a written table; all others are deleted.
+    """
+    out, delete = _removed(docs)
+    kept = durable(out, "kept")
+    delete()
+    return kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out, delete = _removed(documents(spark, sf_dir))
+    told = durable(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "removed")
+    delete()
+    return told
