@@ -172,21 +172,19 @@ class WordEncoder:
             self.old, self.memo, self.held = self.memo, {}, 0
         memo, old = self.memo, self.old
         missing = set().union(*split).difference(memo) if split else set()
-        fresh, long = [], {}
+        fresh, long = [], []
         for word in missing:
             known = old.get(word)
             if known is not None:
                 memo[word] = known
-            elif len(word) >= LONG:
-                long[word] = b""
             else:
-                fresh.append(word)
-        self._learn(fresh, memo)
-        self.held += sum(len(w) + len(memo[w]) + ENTRY_BYTES for w in missing if w not in long)
-        if not long:
-            return [np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4") for words in split]
-        self._learn(list(long), found := {})
-        return [np.frombuffer(b"".join([found[w] if w in long else memo[w] for w in words]), "<u4") for words in split]
+                (long if len(word) >= LONG else fresh).append(word)
+        self._learn(fresh + long, memo)
+        self.held += sum(map(len, missing)) + sum(map(len, map(memo.__getitem__, missing))) + ENTRY_BYTES * len(missing)
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4") for words in split]
+        for word in long:
+            self.held -= len(word) + len(memo.pop(word)) + ENTRY_BYTES
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
