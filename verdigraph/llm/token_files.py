@@ -14,6 +14,7 @@ the frames with the documents it asks for.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -149,14 +150,37 @@ class WordEncoder:
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.held = 0
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.size, bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, fresh: list[bytes], memo: dict[bytes, bytes]) -> None:
-        """Encode words a few thousand to a call, with a mark between them whose id tells them apart."""
+        """Encode words a few thousand to a call.
+
+        ASCII letters are one pre-token a word, whose last id alone ends a word; between other words
+        stands a mark whose id tells them apart.
+        """
         plain = [w for w in fresh if MARK not in w] if self.mark is not None else []
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            text = (b" " + MARK + b" ").join(part).decode("utf-8")
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        if self.ends is not None:
+            letters = [w for w in plain if w.isalpha()]
+            plain = [w for w in plain if not w.isalpha()]
+            for part in (letters[k : k + 4096] for k in range(0, len(letters), 4096)):
+                ids = self._ids(b" ".join(part))
+                stop = 4 * np.flatnonzero(self.ends[ids]) + 4
+                if len(stop) != len(part) or stop[-1] != 4 * len(ids):
+                    plain += part
+                    continue
+                raw, at = ids.tobytes(), 0
+                for word, end in zip(part, stop.tolist()):
+                    memo[word] = raw[at:end]
+                    at = end
+        for part in (plain[k : k + 4096] for k in range(0, len(plain), 4096)):
+            ids = self._ids((b" " + MARK + b" ").join(part))
             cuts = np.flatnonzero(ids == self.mark)
             starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
             raw = ids.tobytes()
