@@ -207,3 +207,11 @@ def test_nothing_stays_behind(spark, docs):
     groups = similar.similar_groups(docs(near_copies(60, 13)))
     assert {t.name for t in spark.catalog.listTables()} == before
     assert set(glob.glob(folder)) - files == {groups._verdigraph_path.removeprefix("file://")}
+
+
+def test_groups_of_a_corpus_equal_all_pairs(spark):
+    """All documents of sf0.01: recall and precision are one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    got = {x.doc_id: x.component_id for x in similar.similar_groups(docs).collect()}
+    assert got == brute_groups(rows) and sum(i != c for i, c in got.items()) > 20
