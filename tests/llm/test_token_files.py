@@ -5,12 +5,15 @@ import numpy as np
 import public_tokenizers
 import pytest
 import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from verdigraph import runtime
 from verdigraph.llm import token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY, ENCODER = Tokenizer.from_file(PATH), token_files.WordEncoder(PATH)
 TEXTS = [None, "", " \n", "Hello  hello World's", "a<|endoftext|>b <|startoftext|>", "é É ́x Σας ΣΑΣ", "x\xa0y　z\x1cw\x85v", "long " * 30000, "東京 1234", "\x00", "a\x01b \x01 \x01\x01 c"]
 
 
@@ -90,3 +93,20 @@ def test_long_words_are_encoded_but_not_remembered(monkeypatch):
         for t, ids in zip(texts, encoder.encode(texts), strict=True):
             assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
         assert not any(len(w) >= token_files.LONG for w in [*encoder.memo, *encoder.old])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aAéÉÿßªµºΣ́'.,!-_09 \x01\x85\xa0<|>tsS", max_size=30), max_size=6))
+def test_stems_cases_and_tails_as_the_library(texts):
+    assert ENCODER.stems
+    assert [g.tolist() for g in ENCODER.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_forgotten_and_learnt_again(monkeypatch):
+    """Memo generations of a few words; long words are never kept."""
+    monkeypatch.setattr(token_files, "MEMO_BYTES", 500)
+    own = token_files.WordEncoder(PATH)
+    for k in range(40):
+        texts = [f"Word{chr(97 + k % 26)}, wordA. {'x' * 70}{k} stem{chr(97 + k % 7)}! {'é' * 80}"]
+        assert own.encode(texts)[0].tolist() == LIBRARY.encode(texts[0], add_special_tokens=False).ids
+        assert all(len(w) < token_files.LONG for w in own.memo)

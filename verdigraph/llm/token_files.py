@@ -14,12 +14,14 @@ the frames with the documents it asks for.
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,8 +43,16 @@ LEVEL = 3
 #: Bytes of one generation of a worker's memo (two are alive at most), bytes that an entry takes besides
 #: its key and value, and length from which a word is too rare to be remembered.
 MEMO_BYTES, ENTRY_BYTES, LONG = 80 << 20, 170, 64
+#: Bytes of rows from which a worker's batch is encoded.
+BATCH_BYTES = 12 << 20
 #: Stands between words that are encoded in one call; a word that holds it is encoded alone.
 MARK = b"\x01"
+#: The normalizer steps, and the pattern whose matches are the pre-tokens, of vocabularies whose
+#: words can be put together from a lower-case stem and the punctuation after it.
+STEM_STEPS = ["NFC", "Replace", "Lowercase"]
+STEM_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A word of Latin-1 letters and then ASCII punctuation without an apostrophe.
+STEM = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 
 
 class ShardWriter:
@@ -147,10 +157,15 @@ class WordEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
         self.held = 0
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.tokenizer.model._resize_cache(0)  # a word comes once, so the library's own memo is of no use
+        rules = json.loads(self.tokenizer.to_str())
+        suffix = rules["model"].get("end_of_word_suffix")
+        steps = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        first = ((rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.stems = bool(suffix) and steps == STEM_STEPS and first.get("pattern") == {"Regex": STEM_PATTERN}
         self.ends = None
         if suffix:
             self.ends = np.zeros(self.size, bool)
@@ -160,15 +175,16 @@ class WordEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, fresh: list[bytes], memo: dict[bytes, bytes]) -> None:
-        """Encode words a few thousand to a call.
+        """Encode distinct words, a few thousand to a call.
 
-        ASCII letters are one pre-token a word, whose last id alone ends a word; between other words
-        stands a mark whose id tells them apart.
+        Letters are one pre-token a word, whose last id alone ends a word; between other words stands a
+        mark whose id tells them apart.
         """
         plain = [w for w in fresh if MARK not in w] if self.mark is not None else []
         if self.ends is not None:
-            letters = [w for w in plain if w.isalpha()]
-            plain = [w for w in plain if not w.isalpha()]
+            alone = lambda w: w.isalpha() or self.stems and w.decode("utf-8").isalpha()
+            letters = [w for w in plain if alone(w)]
+            plain = [w for w in plain if not alone(w)]
             for part in (letters[k : k + 4096] for k in range(0, len(letters), 4096)):
                 ids = self._ids(b" ".join(part))
                 stop = 4 * np.flatnonzero(self.ends[ids]) + 4
@@ -190,12 +206,14 @@ class WordEncoder:
             if word not in memo:
                 memo[word] = np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts_: list[str]) -> list[np.ndarray]:
-        split = [t.encode("utf-8").split() for t in texts_]
+    def _known(self, words: pa.Array) -> pa.Array:
+        """The ids of each word, as binary; words that are not remembered are learnt."""
+        coded = words.dictionary_encode()
+        keys = coded.dictionary.cast(pa.large_binary()).to_pylist()
         if self.held > MEMO_BYTES:
-            self.old, self.memo, self.held = self.memo, {}, 0
+            self.old, self.memo, self.held = self.memo, {b"": b""}, 0
         memo, old = self.memo, self.old
-        missing = set().union(*split).difference(memo) if split else set()
+        missing = [w for w in keys if w not in memo]
         fresh, long = [], []
         for word in missing:
             known = old.get(word)
@@ -205,10 +223,31 @@ class WordEncoder:
                 (long if len(word) >= LONG else fresh).append(word)
         self._learn(fresh + long, memo)
         self.held += sum(map(len, missing)) + sum(map(len, map(memo.__getitem__, missing))) + ENTRY_BYTES * len(missing)
-        out = [np.frombuffer(b"".join(map(memo.__getitem__, words)), "<u4") for words in split]
+        ids = pa.array(list(map(memo.__getitem__, keys)), pa.large_binary())
         for word in long:
             self.held -= len(word) + len(memo.pop(word)) + ENTRY_BYTES
-        return out
+        return ids.take(coded.indices)
+
+    def encode(self, texts_: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text. Arrow finds a batch's distinct words and puts their ids together again.
+
+        Where the vocabulary allows it a word is its lower-case stem and the punctuation after it, a
+        pre-token each, so that only stems are learnt and remembered.
+        """
+        split = pc.ascii_split_whitespace(pa.array(texts_, pa.large_string()) if isinstance(texts_, list) else texts_.cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        if self.stems:
+            cut = pc.extract_regex(words, STEM)
+            stem, tail = (pc.struct_field(cut, name) for name in ("stem", "tail"))
+            stems, tails = self._known(pc.coalesce(pc.utf8_lower(stem), words)), self._known(pc.fill_null(tail, ""))
+            ids = pc.binary_join_element_wise(stems, tails, pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        else:
+            ids = self._known(words).take(coded.indices)
+        _, ends, data = ids.buffers()
+        starts = np.frombuffer(ends, "<i8", len(ids) + 1)[np.asarray(split.offsets)] if len(ids) else np.zeros(len(split) + 1, "i8")
+        whole = np.frombuffer(data, "<u4", int(starts[-1]) // 4) if starts[-1] else np.zeros(0, "<u4")
+        return [whole[a:b] for a, b in itertools.pairwise((starts // 4).tolist())]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -220,6 +259,19 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The batches, joined until they have ``least`` bytes; the larger they are, the fewer words they share."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_shards(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFrame:
     """Encode every whole text, append ``end_id`` and write shards in ascending doc_id order.
 
@@ -242,8 +294,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFr
             shard.close()
             return batch(schema, [part], [seq], [uri], [len(shard.counts)], [sum(shard.counts)])
 
-        for b in batches:
-            for doc, ids in zip(b.column("doc_id").to_pylist(), own.encode(b.column("text").to_pylist())):
+        for b in _gathered(batches, BATCH_BYTES):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), own.encode(b.column("text"))):
                 if shard is None:
                     uri = storage.attempt_path(folder, f"part-{part:06d}-{seq:04d}", ".tok.zst")
                     shard = ShardWriter(storage.create(uri), id_bytes)
