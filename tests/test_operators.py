@@ -179,3 +179,37 @@ def test_ancestors_of_any_depth(spark):
     assert got == sorted((k, k - d, d) for k in range(16) for d in range(k + 1))
     with pytest.raises(fixpoint.NotConverged):
         links.ancestors(chain, max_rounds=5)
+
+
+def test_well_founded_leaves_cycles_and_what_stands_on_them(spark):
+    needs = spark.createDataFrame([(2, 1), (2, 1), (3, 2), (4, 5), (5, 4), (6, 5), (6, 1), (7, 99), (None, 1)], "node long, needs long")
+    assert {r.node for r in fixpoint.well_founded(nodes(spark, [1, 2, 3, 4, 5, 6, 7, None]), needs).collect()} == {1, 2, 3}
+    assert fixpoint.well_founded(nodes(spark, []), needs).count() == 0
+    with pytest.raises(fixpoint.NotConverged):
+        fixpoint.well_founded(nodes(spark, [1, 2, 3]), needs, max_rounds=2)
+
+
+def test_outer_rounds_stop_when_nothing_changes_or_at_the_limit(spark):
+    step = lambda df: df.select(F.explode(F.array("node", F.least(F.col("node") + 1, F.lit(4)))).alias("node"))
+    assert {r.node for r in fixpoint.outer_rounds(step, nodes(spark, [0]), 3).collect()} == {0, 1, 2, 3}
+    assert {r.node for r in fixpoint.outer_rounds(step, nodes(spark, [0, 0]), 50).collect()} == {0, 1, 2, 3, 4}
+    assert fixpoint.outer_rounds(step, nodes(spark, []), 3).count() == 0
+
+
+def test_lifted_elements(spark):
+    table, rank = algebra.table(spark), algebra.RANK
+    lift = lambda base, mods=(): {tuple(r) for r in links.lift_elements(
+        spark.createDataFrame(base, "src long, nature int, dst long"), spark.createDataFrame([(11, 10), (12, 11), (21, 20)], "var long, whole long"),
+        spark.createDataFrame([(m,) for m in mods], "var long"), table, rank["∈"], rank["∋"]).collect()}
+    up = lambda r: algebra.RANK[algebra.combine(r, "∈")]
+    assert lift([(1, rank["≡"], 12), (1, rank["≡"], 12), (1, rank["≡"], 2)]) == {(1, rank["∈"], 10), (1, rank["≡"], 2)}
+    assert lift([(11, rank["≡"], 1)]) == {(10, rank["∋"], 1)}
+    assert lift([(11, rank["≡"], 21)]) == {(10, algebra.RANK[algebra.combine("∋", "∈")], 20)}
+    assert lift([(11, rank["≡"], 10), (1, rank["↗"], 11)]) == set()  # itself; nothing composes
+    assert lift([(1, rank["≡"], 11), (1, rank["≡"], 2)], [1]) == {(1, rank["≡"], 2)}
+    assert up("≡") == rank["∈"] and lift([]) == set()
+
+
+def test_standard_functional_types(spark):
+    rows = spark.createDataFrame([("a.b.C", "a.b"), ("java.util.function.Function", "java.util.function"), ("kotlin.jvm.functions.Function2", "kotlin.jvm.functions"), (None, None)], "n string, p string")
+    assert [r[0] for r in rows.select(scalars.is_standard_functional(F.col("n"), F.col("p"))).collect()] == [False, True, True, False]

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigraph import runtime
-from verdigraph.sources import results
+from verdigraph.functions import algebra
+from verdigraph.sources import codecs, results
 from verdigraph.streaming.edits import Engine
 
 ROWS = [(1, "p", "nonModifyingMethod", "false", "a"), (2, "p", "immutable", "false", "a"), (3, "q", "immutable", "3", "b"), (4, "q", "immutable", None, "b")]
@@ -100,3 +101,17 @@ def test_the_last_edit_counts_and_a_restart_goes_on(spark, tmp_path):
     assert again.apply(edits, 0).count() == 2  # a replay starts from the state before its batch
     assert again.apply(spark.createDataFrame([(1, 7, 3)], edits.schema), 1).count() == 0
     assert {tuple(r) for r in make().state().collect()} == {(1, 7), (2, 200)}
+
+
+def test_links_and_values_come_back_from_result_files(spark, tmp_path):
+    made = [(k % 3, "p", -k, k, 2 * k, "o") for k in range(1, len(algebra.NATURES) + 1)]
+    schema = "m long, package string, src long, nature int, dst long, origin string"
+    results.write_json(codecs.encode_links(spark.createDataFrame([*made, (9, "p", None, 1, 2, "o"), (9, "p", 1, None, 2, "o")], schema)), str(tmp_path / "l"))
+    back = codecs.decode_links(results.read_json(spark, [str(tmp_path / "l")]).rows)
+    assert sorted(tuple(r) for r in back.collect()) == sorted(made)
+    for wrong in ("1 ? 2", "1 ≡", "x ≡ 2", ""):
+        with pytest.raises(Exception, match="no link"):
+            codecs.decode_links(spark.createDataFrame([(1, "p", "link", wrong, "o")], results.SCHEMA)).collect()
+    df = spark.createDataFrame([(True, 3, "a b", [3, 1, 3]), (False, 0, "", []), (None, None, None, None)], "bool boolean, level int, text string, `set` array<int>")
+    twice = df.select(*(codecs.decode_value(codecs.encode_value(F.col(k), k), k).alias(k) for k in df.columns))
+    assert [tuple(r) for r in twice.collect()] == [(True, 3, "a b", [1, 3]), (False, 0, "", []), (None, None, None, None)]

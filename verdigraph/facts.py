@@ -59,6 +59,9 @@ VIEWS = {
     "library": "SELECT p_partkey AS m, CASE p_size % 4 WHEN 0 THEN 'nullable' WHEN 1 THEN 'view of argument' WHEN 2 THEN 'stream' ELSE 'non-null' END AS returns, p_size < 4 AS is_value_of FROM part WHERE p_size < 20",
     "precondition": f"SELECT DISTINCT l_partkey AS m, l_linenumber AS pos FROM lineitem WHERE l_quantity = 15",
     "array_init": f"SELECT {_VAR} + l_linenumber AS var, max(l_suppkey % 9) AS size, count(DISTINCT l_orderkey % 9) AS filled FROM lineitem WHERE l_quantity = 16 GROUP BY 1",
+    "returned": f"SELECT DISTINCT l_partkey AS m, CASE WHEN l_linenumber = 1 THEN 'other' WHEN l_linenumber = 2 THEN 'null' WHEN l_linenumber <= 4 THEN 'call' ELSE 'wrapped' END AS kind, CASE WHEN l_linenumber BETWEEN 3 AND 4 THEN l_orderkey % {_N} END AS callee FROM lineitem WHERE l_quantity BETWEEN 17 AND 20",
+    "local_element": f"SELECT DISTINCT {_VAR} + 5 AS var, {_VAR} + 4 AS whole FROM lineitem WHERE l_quantity = 21 UNION SELECT DISTINCT {_VAR} + 6, {_VAR} + 5 FROM lineitem WHERE l_quantity = 22",
+    "own_param": "SELECT DISTINCT l_orderkey AS site, l_linenumber AS pos, 1 + l_suppkey % 7 AS own FROM lineitem WHERE l_quantity = 7",
     "statement": "SELECT o_orderkey AS s, CASE WHEN o_orderkey > 0 THEN o_orderkey // 3 END AS parent, CASE WHEN o_orderstatus = 'O' THEN 'return' WHEN o_orderstatus = 'P' THEN 'break' ELSE 'plain' END AS leaf, o_orderpriority <= '2-HIGH' AS is_loop, o_orderpriority = '1-URGENT' AS infinite FROM orders",
     "ignored": "SELECT c_custkey AS f FROM customer WHERE c_mktsegment = 'MACHINERY'",
     "production": "SELECT p_partkey AS m FROM part WHERE p_size % 9 <> 0",

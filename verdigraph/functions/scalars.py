@@ -48,3 +48,8 @@ def annotation(immutable: Column, hc: str = "hc = true") -> Column:
 def snake(name: Column) -> Column:
     """camelCase to snake_case."""
     return F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"))
+
+
+def is_standard_functional(name: Column, package: Column) -> Column:
+    """Whether values of a type (qualified name, package) are functions without content of their own."""
+    return F.coalesce((package == "java.util.function") | name.startswith("kotlin.jvm.functions.Function"), F.lit(False))

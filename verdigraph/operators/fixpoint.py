@@ -7,7 +7,7 @@ Results are least fixpoints over sets, so they do not depend on evaluation order
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,6 +202,38 @@ def greatest(members: DataFrame, assumptions: DataFrame, max_rounds: int = MAX_R
     raise NotConverged(f"not stable after {max_rounds} rounds")
 
 
+def well_founded(members: DataFrame, needs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """Members (node) all of whose needs (node, needs) are met in turn, from those without any upwards.
+
+    Members on a cycle or above one are left out, and so are those that need what is no member. Nulls
+    are no members; repeated rows count once.
+    """
+    open_ = durable(members.select("node").where("node is not null").distinct(), "open")
+    unmet = durable(needs.select("node", "needs").where("node is not null").distinct(), "needs")
+    found: list[DataFrame] = []
+    for _ in range(max_rounds):
+        found.append(durable(open_.join(unmet.select("node").distinct(), "node", "left_anti"), "founded"))
+        if found[-1].isEmpty():
+            return _all(found)
+        open_ = durable(open_.join(found[-1], "node", "left_anti"), "open")
+        unmet = durable(unmet.join(found[-1].select(F.col("node").alias("needs")), "needs", "left_anti").select("node", "needs"), "needs")
+    raise NotConverged(f"needs are not met after {max_rounds} rounds")
+
+
+def outer_rounds(step: Callable[[DataFrame], DataFrame], state: DataFrame, most: int) -> DataFrame:
+    """The set that ``step`` makes of ``state``, again and again until it stays, ``most`` times at most.
+
+    Stopping at ``most`` is no failure here: each round only refines the one before. Nulls equal nulls.
+    """
+    state = durable(state.distinct(), "round")
+    for _ in range(most):
+        made = durable(step(state).select(state.columns).distinct(), "round")
+        if made.count() == state.count() and made.exceptAll(state).isEmpty():
+            return made
+        state = made
+    return state
+
+
 def early_cutoff(dirty: DataFrame, depends: DataFrame, prior: DataFrame, recompute, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, fp, changed): recomputed nodes; a node wakes its users only if its fingerprint changed.
 

@@ -115,3 +115,28 @@ def nearest_above(elements: DataFrame, overrides: DataFrame, values: DataFrame,
         further = open_.join(hit, "m", "left_anti").join(overrides, F.col("anc") == F.col("sub")).select("m", F.col("sup").alias("anc")).distinct()
         open_ = durable(further, "open")
     raise NotConverged(f"overrides are not at their end after {max_rounds} rounds")
+
+
+def lift_elements(links: DataFrame, elements: DataFrame, modification: DataFrame, algebra: DataFrame, up: int, down: int, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """Links (src, nature, dst) with elements (var, whole) at local indices replaced by their wholes.
+
+    First the target is lifted, whole by whole, then the source; each step composes with ``up`` (an
+    element is in its whole) or ``down``, its reverse. What composes to nothing, links a whole to
+    itself or has, once lifted, just one end among ``modification`` (var) goes. Repeated links count once.
+    """
+    found = links.select("src", F.col("nature").cast("int").alias("nature"), "dst", F.lit(False).alias("lifted")).distinct()
+    whole = elements.select("var", "whole").distinct()
+    after = algebra.where(F.col("s") == up).select(F.col("r").alias("nature"), "t")
+    before = algebra.where(F.col("r") == down).select(F.col("s").alias("nature"), "t")
+    for end, table in (("dst", after), ("src", before)):
+        open_, done = durable(found, "lift"), []
+        while not open_.isEmpty():
+            if len(done) > max_rounds:
+                raise NotConverged(f"elements are not lifted after {max_rounds} rounds")
+            done.append(durable(open_.join(whole.select(F.col("var").alias(end)), end, "left_anti").select("src", "nature", "dst", "lifted"), "lifted"))
+            moved = open_.join(whole, F.col(end) == F.col("var")).join(F.broadcast(table), "nature").withColumn(end, F.col("whole"))
+            open_ = durable(moved.select("src", F.col("t").alias("nature"), "dst", F.lit(True).alias("lifted")).distinct(), "lift")
+        found = _all(done) if done else open_
+    marks = lambda end: modification.select(F.col("var").alias(end), F.lit(True).alias(end + "_mod")).distinct()
+    both = found.join(marks("src"), "src", "left").join(marks("dst"), "dst", "left")
+    return both.where("src <> dst and (not lifted or src_mod <=> dst_mod)").select("src", "nature", "dst").distinct()
