@@ -51,3 +51,9 @@ def test_a_long_text_without_spaces_is_not_remembered():
     text = "ab" * 200_000
     assert codec.decode(codec.encode(text)) == text
     assert sum(map(len, codec.pieces)) < 1000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab  '\n,1é<|endoftext|>\xa0"), max_size=25) | st.just("a<|endoftext|> b"), max_size=6))
+def test_batches_equal_the_library(texts):
+    assert bpe.codec(PATH).encode_all(texts) == [library(t) for t in texts]

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,6 +154,21 @@ class Codec:
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
+    def encode_all(self, texts_: list[str]) -> list[bytes]:
+        """``encode`` of each text; what stands after a space is looked up once a batch, not once a place."""
+        odd = lambda t: _loose_space.search(t) or self.special_re is not None and self.special_re.search(t)
+        out = [self.encode(t) if odd(t) else None for t in texts_]
+        heads = [(i, *t.partition(" ")) for i, t in enumerate(texts_) if out[i] is None]
+        split = pc.split_pattern(pa.array([rest if space else None for _, _, space, rest in heads], pa.large_string()), " ")
+        coded, pieces = split.flatten().dictionary_encode(), self.pieces
+        ids = pa.array([pieces[" " + p] for p in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, "<i8", len(ids) + 1)[np.asarray(split.offsets)].tolist() if len(ids) else [0] * (len(heads) + 1)
+        whole = memoryview(data) if len(ids) else memoryview(b"")
+        for (i, head, _, _), a, b in zip(heads, ends, ends[1:]):
+            out[i] = (pieces[head] if head else b"") + whole[a:b]
+        return out
+
     def decode(self, ids: bytes) -> str:
         """The text of ids: their vocabulary strings one after the other; broken UTF-8 is replaced."""
         return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -180,7 +196,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in batches:
-            ids = [own.encode(t) for t in b.column("text").to_pylist()]
+            ids = own.encode_all(b.column("text").to_pylist())
             yield batch(schema, b.column("doc_id"), ids, [own.decode(i) for i in ids])
 
     return map_batches(texts(docs), run, "doc_id long, ids binary, decoded string")
