@@ -125,14 +125,20 @@ def cause_chain(caused: DataFrame, elements: DataFrame, most: int) -> DataFrame:
     return _all(steps)
 
 
-def pairs(edges: DataFrame, start: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(owner, node): owners carried along edges (src, dst) from ``start`` (owner, node), to fixpoint."""
+def pairs(edges: DataFrame, start: DataFrame, max_rounds: int = MAX_ROUNDS, through_owner: bool = True) -> DataFrame:
+    """(owner, node): owners carried along edges (src, dst) from ``start`` (owner, node), to fixpoint.
+
+    Unless ``through_owner``, no owner is carried to its own node, so nothing is reached by way of it
+    either; ``start`` stays as given.
+    """
     steps = durable(edges.select("src", "dst").distinct(), "edges")
     deltas = [durable(start.select("owner", "node").distinct(), "pairs")]
     while not deltas[-1].isEmpty():
         if len(deltas) > max_rounds:
             raise NotConverged(f"not complete after {max_rounds} rounds")
         met = deltas[-1].join(steps, F.col("node") == F.col("src")).select("owner", F.col("dst").alias("node")).distinct()
+        if not through_owner:
+            met = met.where("owner <> node")
         deltas.append(durable(met.join(_all(deltas), ["owner", "node"], "left_anti"), "pairs"))
     return _all(deltas)
 

@@ -60,10 +60,10 @@ def mediated_links(f: Facts) -> DataFrame:
 WITH RECURSIVE d(src, dst) AS (SELECT src, dst FROM base_link WHERE nature = {_R["∈"]} UNION SELECT d.src, b.dst FROM d JOIN base_link b ON b.src = d.dst AND b.nature = {_R["→"]} WHERE d.src <> b.dst) SELECT src, dst FROM d
 """)
 def direct_links(f: Facts) -> DataFrame:
-    """Direct element links, carried along assignments."""
+    """Direct element links, carried along assignments, but not by way of the owner itself."""
     start = f.base_link.where(F.col("nature") == _R["∈"]).select(F.col("src").alias("owner"), F.col("dst").alias("node"))
     along = f.base_link.where(F.col("nature") == _R["→"]).select("src", "dst")
-    return fixpoint.pairs(along, start).where("owner <> node").select(F.col("owner").alias("src"), F.col("node").alias("dst")).distinct()
+    return fixpoint.pairs(along, start, through_owner=False).select(F.col("owner").alias("src"), F.col("node").alias("dst")).distinct()
 
 
 _GETSET = """g AS (SELECT m, min(f) AS f, false AS is_setter FROM reads WHERE m NOT IN (SELECT m FROM assignment) GROUP BY m HAVING count(*) = 1
