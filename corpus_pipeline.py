@@ -22,6 +22,10 @@ from verdigraph.llm import bpe, decontaminate, quality, secrets, similar
 from verdigraph.runtime import discard, durable, table
 
 
+#: Bytes of one generation of a task's memo in the last stage: workers of all stages live on beside it.
+ENCODE_MEMO = 16 << 20
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the rows that the quality field, fitted on ``labels``, scores 0.5 or more."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -44,7 +48,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and a mark that decoding them gives the text back."""
-    out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), ENCODE_MEMO)
     return out.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

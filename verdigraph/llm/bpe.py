@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +19,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, documents, map_batches, texts
+from .common import batch, documents, map_batches, portions, texts, tidied
 
 #: Bytes of one generation of a memo (two are alive at most), bytes that an entry takes besides its key
 #: and value, and length from which a piece of text is too rare to be remembered.
 MEMO_BYTES, ENTRY_BYTES, LONG = 32 << 20, 180, 64
+#: Bytes of text encoded at a time by a task with a codec of its own.
+PORTION = 1 << 20
 
 #: Fixed value: the pre-token pattern that byte-level BPE vocabularies of this kind are made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -68,7 +70,7 @@ class Memo(dict):
 class Codec:
     """One vocabulary file (``tokenizers`` JSON with a byte-level BPE model)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -93,7 +95,7 @@ class Codec:
         self.special_re = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.special_ids = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
         self.split = regex.compile(PATTERN).findall
-        self.pieces = Memo(self.split, self.merge)
+        self.pieces = Memo(self.split, self.merge, memo_bytes)
         # Ranks of pairs of bytes, in place for the heap; -1 where there is no merge.
         pairs = [self.rank.get(a << 20 | b) for a in self.byte_id for b in self.byte_id]
         self.start = [-1 if r is None else r << 32 for r in pairs]
@@ -184,22 +186,33 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+
+
+def coder(path: str, memo_bytes: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task of ``encode_decode`` does with its batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path) if memo_bytes is None else Codec(path, memo_bytes)
+        for whole in batches:
+            for b in [whole] if memo_bytes is None else portions(whole, "text", PORTION):
+                ids = own.encode_all(b.column("text").to_pylist())
+                yield batch(SCHEMA, b.column("doc_id"), ids, [own.decode(i) for i in ids])
+
+    return run if memo_bytes is None else tidied(run)
+
+
+def encode_decode(docs: DataFrame, path: str, memo_bytes: int | None = None) -> DataFrame:
     """Ids and decoded text of every whole text: (doc_id long, ids binary, decoded string).
 
     Reads ``doc_id`` and ``text``. ``ids`` are little-endian unsigned 32-bit integers. Null and empty
     texts have no ids and decode to the empty text; repeated rows give repeated rows; texts of any
     length are encoded whole. One pass without a shuffle: nothing grows with the corpus.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        for b in batches:
-            ids = own.encode_all(b.column("text").to_pylist())
-            yield batch(schema, b.column("doc_id"), ids, [own.decode(i) for i in ids])
-
-    return map_batches(texts(docs), run, "doc_id long, ids binary, decoded string")
+    A worker keeps its codec and memo for the next task. With ``memo_bytes`` a task has its own, with
+    generations of that size, takes small portions, and leaves nothing behind in the worker.
+    """
+    return map_batches(texts(docs), coder(path, memo_bytes), "doc_id long, ids binary, decoded string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from verdigraph.runtime import bound_batches, table
 
-from .common import batch, documents, id_remainder, map_batches, texts
+from .common import batch, documents, id_remainder, map_batches, texts, tidied
 
 #: Bound of the sample that the field is fitted on.
 TRAIN_DOCS = 6_000
@@ -248,11 +248,13 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 def keep_good(docs: DataFrame, field: Field) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores 0.5 or more."""
 
-    @F.pandas_udf("double")
-    def scored(column):
-        import pandas as pd
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in columns:
+            yield pa.array(field.scores([line_features(t or "") for t in c.to_pylist()]), pa.float64())
 
-        return pd.Series(field.scores([line_features(t or "") for t in column]))
+    @F.arrow_udf("double")
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidied(run)(columns)
 
     bound_batches(docs.sparkSession)
     return docs.where(scored("text") >= 0.5)

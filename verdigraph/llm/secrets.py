@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, documents, map_batches, texts
+from .common import batch, documents, map_batches, texts, tidied
 
 #: The base kinds in the order in which equal starts are listed, then the added ones.
 BASE_KINDS = ("assign", "access", "hex")
@@ -74,6 +74,11 @@ def automaton():
     return _automaton
 
 
+def forget() -> None:
+    global _automaton
+    _automaton = None
+
+
 def find(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every secret, leftmost and non-overlapping within a kind, in code points."""
     low = text.lower() if text.isascii() else text.encode().lower().decode()
@@ -129,19 +134,30 @@ def redacted(text: str, mask: str = "[secret]") -> str:
     return text if open_end < 0 else "".join([*out, text[open_end:]])
 
 
+def masker(mask: str) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """What a task of ``redact`` does with its texts; it leaves no automaton in the worker."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for c in columns:
+                yield pa.array([t if t is None else redacted(t, mask) for t in c.to_pylist()], pa.string())
+        finally:
+            forget()
+
+    return run
+
+
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with secrets in ``text`` masked, and ``n_chars`` (if there) following; null stays null.
 
     Repeated rows stay repeated, an empty table stays empty, other columns are untouched.
     """
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def masked(column):
-        return column.map(lambda t: t if t is None else redacted(t, mask))
-
     from verdigraph.runtime import bound_batches
 
+    @F.arrow_udf("string")
+    def masked(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidied(masker(mask))(columns)
+
     bound_batches(docs.sparkSession)
     out = docs.withColumn("text", masked("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

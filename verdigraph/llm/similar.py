@@ -35,7 +35,7 @@ from verdigraph.runtime import discard, durable, width
 
 from . import bitslice
 from .chunks import Chunks, bodies, expand, squeeze
-from .common import batch, map_batches
+from .common import batch, map_batches, tidied
 from .simhash import fold
 
 WORDS, SIMILARITY = 5, 0.8
@@ -189,7 +189,7 @@ def rarity(counted: DataFrame) -> np.ndarray:
 
     parts = map_batches(counted, partly, "part int, counts binary")
     out = np.zeros((SLOT_PARTS, SLOTS // SLOT_PARTS), "<u8")
-    for part, counts in map_batches(parts.repartition(min(SLOT_PARTS, width(counted.sparkSession)), "part"), add, "part int, counts binary").collect():
+    for part, counts in map_batches(parts.repartition(min(SLOT_PARTS, width(counted.sparkSession)), "part"), tidied(add), "part int, counts binary").collect():
         out[part] = np.frombuffer(counts, "<u8")
     return out.ravel()
 
@@ -304,7 +304,7 @@ def simhash_round(labelled: DataFrame, tables: range, key_bits: int) -> DataFram
                     yield batch(PROPOSED, *nearest(rows, bits_near(rows, at[k : k + BLOCK])))
 
     dealt = members.repartition(width(labelled.sparkSession), "bucket").sortWithinPartitions("bucket", F.xxhash64("node", "bucket"))
-    out = durable(proposals(map_batches(dealt, run, "u long, v long, d long")), "proposals")
+    out = durable(proposals(map_batches(dealt, tidied(run), "u long, v long, d long")), "proposals")
     discard(hot)
     return out
 
@@ -363,7 +363,7 @@ def checked(chunks: Chunks, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             yield batch(out, *(zip(*found) if found else ([], [])))
 
     dealt = sets.repartition(width(pairs.sparkSession), "v", "piece").sortWithinPartitions("v", "piece", F.col("node") != F.col("v"))
-    return durable(map_batches(dealt, near, "u long, v long"), "near")
+    return durable(map_batches(dealt, tidied(near), "u long, v long"), "near")
 
 
 def prefix_rows(chunks: Chunks, nodes: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -395,7 +395,7 @@ def prefix_rows(chunks: Chunks, nodes: DataFrame, counts: np.ndarray) -> DataFra
 
     rows = chunks.answer(nodes.where("size > 0").select("chunk", "at", "node"), send, ", ".join(f"{c} long" for c in names), schema)
     dealt = rows.repartition(width(chunks.spark), "key", "piece").sortWithinPartitions("key")
-    return durable(map_batches(dealt, shared, ", ".join(f"{c} long" for c in names)).drop("piece"), "prefixes")
+    return durable(map_batches(dealt, tidied(shared), ", ".join(f"{c} long" for c in names)).drop("piece"), "prefixes")
 
 
 def prefix_pairs(rows: Rows):
@@ -476,7 +476,7 @@ def prefix_search(shared: DataFrame, labelled: DataFrame, only_nearest: bool) ->
                     yield batch(PROPOSED, u, v, np.zeros(len(u), "i8"))
 
     def compared(rows: DataFrame) -> DataFrame:
-        return map_batches(rows.repartition(width(spark), "key").sortWithinPartitions("key"), run, "u long, v long, d long")
+        return map_batches(rows.repartition(width(spark), "key").sortWithinPartitions("key"), tidied(run), "u long, v long, d long")
 
     found = compared(ready.join(mixed.where(F.col("n") <= GRID).select("key"), "key"))
     if not hot.isEmpty():
